@@ -181,8 +181,8 @@ def near_duplicates(
         ta = texts.select("src", F.col("row_id").alias("rep_a"), F.col("text").alias("text_a"))
         tb = texts.select("src", F.col("row_id").alias("rep_b"), F.col("text").alias("text_b"))
         links = (
-            pairs.join(ta.dropDuplicates(["src", "rep_a"]), ["src", "rep_a"]).join(tb.dropDuplicates(["src", "rep_b"]), ["src", "rep_b"])
-            .mapInPandas(_verify(shingle, threshold), "src string, rep_a long, rep_b long, similarity double")
+            pairs.join(ta, ["src", "rep_a"]).join(tb, ["src", "rep_b"])
+            .mapInPandas(_verify(shingle, threshold), "src string, rep_a long, rep_b long, similarity double").dropDuplicates(["src", "rep_a", "rep_b"])
         )
         links = materialise(links, "links")
         chance = 1 - F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(trees))
