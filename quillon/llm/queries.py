@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import materialise, table
 
-from . import chunking, encode, leak, near_dup, pairs, spans, truncation
+from . import chunking, encode, leak, near_dup, pairs, spans, syntax, truncation
 
 CODE = {"samples": "code", "primevul_raw": "func", "cleanvul_raw": "func_before"}
 
@@ -47,6 +47,27 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "primevul_raw").select(F.lit("primevul_raw").alias("src"), "row_id", F.col("project").alias("repository"), F.lit("c").alias("language"), F.col("func").alias("text"))
+    repo = F.regexp_extract(F.coalesce("commit_url", F.lit("")), r"^https?://[^/]+/([^/]+/[^/]+)/commit/", 1)
+    many = table(spark, d, "cleanvul_raw").select(
+        F.lit("cleanvul_raw").alias("src"), "row_id", F.when(repo != "", repo).alias("repository"), syntax.claimed(F.col("extension"), F.col("file_name")).alias("language"), F.col("func_before").alias("text")
+    )
+    return syntax.check_syntax(c.unionByName(many))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d).where("not is_valid").select("src", "row_id")
+
+
+def p3_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d)
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_rates(_verdicts(spark, d))
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """Of each run: its prompt. Both tables are fixed and of a few dozen rows."""
     prompts = table(spark, d, "prompts").select("prompt_id", "prompt_lang", F.col("user_prompt_template").alias("template"))
@@ -131,7 +152,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_rates, p4_cut_lengths, p5_found, p5_rates, p6_ids, p7_found, p7_items, p7_edited, p8_found, p8_shared)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_flags, p3_rates, p4_found, p4_rates, p4_cut_lengths, p5_found, p5_rates, p6_ids, p7_found, p7_items, p7_edited, p8_found, p8_shared)
 }
 
 SQL: dict[str, str] = {
