@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -60,6 +61,14 @@ def _drop_made() -> None:
             pass
 
 
+def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], bound: int = 1_000_000) -> DataFrame:
+    """``rows`` whose ``key`` is among the distinct ``ids``: by a broadcast of at most ``bound`` ids, counted first, else by a shuffled semi-join."""
+    ids = ids.select(*([key] if isinstance(key, str) else key)).distinct()
+    if ids.limit(bound + 1).count() <= bound:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
