@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.session import materialise, only_ids
 
 from ._text import U64, BLANK, CONT, WORD, Block, blocks, classes, hash_ranges, mix
 
@@ -107,7 +107,26 @@ def compress(names: np.ndarray, at: np.ndarray, text: np.ndarray, n: int, rounds
     return names, at, text
 
 
-def span_keys(b: Block, rounds: int, cover: int) -> tuple[np.ndarray, np.ndarray]:
+def _winnowed(key: np.ndarray, text: np.ndarray, w: int) -> np.ndarray:
+    """Places of the smallest key of each ``w`` consecutive ones of a text: equal stretches of w keys keep an equal one."""
+    n = len(key)
+    if w < 2 or not n:
+        return np.arange(n)
+    most = U64((1 << 64) - 1)
+    low = key.copy()
+    for k in range(1, w):  # the smallest of key[i : i + w], cut at the text's end
+        near = np.full(n, most)
+        same = text[k:] == text[:-k]
+        near[: n - k][same] = key[k:][same]
+        np.minimum(low, near, out=low)
+    keep = np.zeros(n, bool)
+    for k in range(w):
+        hit = (key[k:] == low[: n - k]) & (text[k:] == text[: n - k])
+        keep[k:] |= hit
+    return np.flatnonzero(keep)
+
+
+def span_keys(b: Block, rounds: int, cover: int, winnow: int) -> tuple[np.ndarray, np.ndarray]:
     """(text of the block, key), distinct."""
     n = len(b.data)
     names, at = base_symbols(b)
@@ -121,8 +140,6 @@ def span_keys(b: Block, rounds: int, cover: int) -> tuple[np.ndarray, np.ndarray
     chars = np.zeros(n + 1, np.int64)
     np.cumsum((b.data & 0xC0) != 0x80, out=chars[1:])
     at_char = chars[np.append(at, n)]
-    # periodic stretches: symbols that hold a long run get a key of their own, whatever the length
-    size = np.diff(at_char)
     stop = np.searchsorted(at_char, at_char[:-1] + cover)
     whole = stop <= len(at)
     i = np.flatnonzero(whole)
@@ -133,7 +150,8 @@ def span_keys(b: Block, rounds: int, cover: int) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(len(names) + 1, U64)
     np.cumsum(mix(names) * pw[: len(names)], out=total[1:])
     key = mix((total[j] - total[i]) * inv[i])
-    t, k = np.concatenate([text[i], run_text]), np.concatenate([key, run_key])
+    some = _winnowed(key, text[i], winnow)
+    t, k = np.concatenate([text[i[some]], run_text]), np.concatenate([key[some], run_key])
     order = np.lexsort((k, t))
     t, k = t[order], k[order]
     if len(t):
@@ -142,13 +160,13 @@ def span_keys(b: Block, rounds: int, cover: int) -> tuple[np.ndarray, np.ndarray
     return t, k
 
 
-def _keys(rounds: int, cover: int, least: int):
+def _keys(rounds: int, cover: int, winnow: int, least: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for b in blocks(batch.column(1)):
                 if not len(b.data):
                     continue
-                t, k = span_keys(b, rounds, cover)
+                t, k = span_keys(b, rounds, cover, winnow)
                 f1 = hash_ranges(b, b.starts[:-1], b.starts[1:])
                 size = np.diff(b.starts)
                 first = np.searchsorted(t, np.arange(b.n + 1))
@@ -212,23 +230,22 @@ def _verify(least: int):
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 200) -> tuple[DataFrame, DataFrame]:
+def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, links) of docs (doc_id long, text string).
 
     members: doc_id, rep - every document of at least ``least`` bytes and the first one with the same text;
     links: rep_a < rep_b, spans_a, spans_b - maximal intervals of characters that windows of ``least`` shared characters cover.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    keyed = materialise(docs.mapInArrow(_keys(rounds, cover, least), "doc_id long, f1 long, size long, keys array<long>"), "spans")
+    keyed = materialise(docs.mapInArrow(_keys(rounds, cover, winnow, least), "doc_id long, f1 long, size long, keys array<long>"), "spans")
     reps = keyed.groupBy("f1", "size").agg(F.min("doc_id").alias("rep"))
     members = keyed.select("doc_id", "f1", "size").join(reps, ["f1", "size"]).select("doc_id", "rep").dropDuplicates(["doc_id"])
-    node = (
-        keyed.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        .select("doc_id", F.explode("keys").alias("key"))
-    )
+    # copies are few beside all documents: taking them out costs less than picking the others
+    node = keyed.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
     a, b = node.select(F.col("doc_id").alias("rep_a"), "key"), node.select(F.col("doc_id").alias("rep_b"), "key")
-    pairs = a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    ta, tb = (docs.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    pairs = materialise(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "candidates")
+    wanted = only_ids(docs, pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")), "doc_id")
+    ta, tb = (wanted.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     links = (
         pairs.join(ta, "rep_a").join(tb, "rep_b").select("rep_a", "rep_b", "text_a", "text_b")
         .mapInPandas(_verify(least), f"rep_a long, rep_b long, spans_a {_SPANS}, spans_b {_SPANS}").dropDuplicates(["rep_a", "rep_b"])
