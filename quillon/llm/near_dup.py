@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.session import materialise, only_ids
 
 from ._text import U64, BLOCK_BYTES, blocks, hash_ranges, mix, tokens
 
@@ -163,23 +163,27 @@ def near_duplicates(
         sig = materialise(texts.where(F.col("text").isNotNull()).mapInArrow(_signatures(shingle, trees, depth), SIGNATURE), "forest")
         reps = sig.groupBy("src", "f1", "f2").agg(F.min("row_id").alias("rep"))
         members = sig.select("src", "row_id", "f1", "f2", "n").join(reps, ["src", "f1", "f2"]).select("src", "row_id", "rep", "n").dropDuplicates()
-        first = reps.select("src", F.col("rep").alias("row_id"))
+        # copies are few beside all rows: taking them out costs less than picking the others
+        copies = members.where("row_id <> rep").select("src", "row_id")
         node = (
-            sig.where("n > 0").join(first, ["src", "row_id"], "left_semi").dropDuplicates(["src", "row_id"])
+            sig.where("n > 0").join(copies, ["src", "row_id"], "left_anti")
             .select("src", "row_id", "n", "s1", "s2", F.explode("keys").alias("key"))
         )
         a, b = (node.select(*(F.col(c).alias(f"{c}_{x}") for c in node.columns)) for x in "ab")
-        pairs = (
+        pairs = materialise(
             a.join(
                 b,
                 (F.col("key_a") == F.col("key_b")) & (F.col("src_a") == F.col("src_b")) & (F.col("row_id_a") < F.col("row_id_b"))
                 & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
                 & (F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= _sketch_slack(threshold)),
             )
-            .select(F.col("src_a").alias("src"), F.col("row_id_a").alias("rep_a"), F.col("row_id_b").alias("rep_b")).distinct()
+            .select(F.col("src_a").alias("src"), F.col("row_id_a").alias("rep_a"), F.col("row_id_b").alias("rep_b")).distinct(),
+            "candidates",
         )
-        ta = texts.select("src", F.col("row_id").alias("rep_a"), F.col("text").alias("text_a"))
-        tb = texts.select("src", F.col("row_id").alias("rep_b"), F.col("text").alias("text_b"))
+        ids = pairs.select("src", F.col("rep_a").alias("row_id")).union(pairs.select("src", "rep_b"))
+        wanted = only_ids(texts, ids, ["src", "row_id"])
+        ta = wanted.select("src", F.col("row_id").alias("rep_a"), F.col("text").alias("text_a"))
+        tb = wanted.select("src", F.col("row_id").alias("rep_b"), F.col("text").alias("text_b"))
         links = (
             pairs.join(ta, ["src", "rep_a"]).join(tb, ["src", "rep_b"])
             .mapInPandas(_verify(shingle, threshold), "src string, rep_a long, rep_b long, similarity double").dropDuplicates(["src", "rep_a", "rep_b"])
