@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import strip
+
 COUNTS = ("tp", "tn", "fp", "fn")
 
 
@@ -47,12 +49,14 @@ def with_metrics(counts: DataFrame, names: list[str] | None = None, zero_div: st
 
 def token_recall(pred: Column, true: Column) -> Column:
     """Share of the true identifiers that the prediction has; 1 if both have none, 0 if only the truth has none."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0)))
+    # identifiers are whole Unicode words of ASCII characters: written so that no engine's idea of a word edge matters
+    whole = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = lambda c: F.array_distinct(F.filter(whole(c), lambda w: w.rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*$")))
     return _overlap(words(pred), words(true))
 
 
 def line_recall(pred: Column, true: Column) -> Column:
-    rows = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != ""))
+    rows = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""))
     return _overlap(rows(pred), rows(true))
 
 
