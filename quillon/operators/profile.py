@@ -14,7 +14,8 @@ def distribution(df: DataFrame, value: Column, name: str = "value") -> DataFrame
 
 def list_distribution(df: DataFrame, values: Column, default: str) -> DataFrame:
     """Counts of the elements of a list column; rows without elements count as ``default``."""
-    return df.select(F.coalesce(F.explode_outer(values), F.lit(default)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    x = df.select(F.explode_outer(values).alias("value")).select(F.coalesce("value", F.lit(default)).alias("value"))
+    return x.groupBy("value").agg(F.count("*").alias("n"))
 
 
 def length_stats(df: DataFrame, keys: list[str], text: str, digits: int = 4) -> DataFrame:

@@ -1,4 +1,4 @@
 """Queries over the test tables, one for each operator, with their SQL."""
 
-from . import parsing, scoring  # noqa: F401
+from . import comparing, flow, parsing, profiling, relations, scoring, streams  # noqa: F401
 from ._registry import QUERIES, SQL  # noqa: F401
