@@ -147,7 +147,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_share(*_spans(spark, d))
+    """How much of each document others have, too."""
+    return spans.shared_share(*_spans(spark, d)).drop("n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -155,7 +156,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_flags, p3_rates, p4_found, p4_rates, p4_cut_lengths, p5_found, p5_rates, p6_ids, p7_found, p7_items, p7_edited, p8_found, p8_shared)
 }
 
+_BLANK = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
+_WINDOWS = """w AS (SELECT doc_id, p, hash(substr(text, p, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS p FROM documents WHERE length(text) >= 400))"""
+
 SQL: dict[str, str] = {
+    "p1_found": rf"""
+        WITH t AS (SELECT 'samples' AS src, row_id, code AS text FROM samples UNION ALL SELECT 'primevul_raw', row_id, func FROM primevul_raw UNION ALL SELECT 'cleanvul_raw', row_id, func_before FROM cleanvul_raw),
+             k AS (SELECT src, row_id, text, regexp_extract_all(text, '[A-Za-z0-9_]+|[^{_BLANK}A-Za-z0-9_]') AS x FROM t WHERE text IS NOT NULL),
+             g AS (SELECT DISTINCT src, row_id, hash(unnest(list_transform(range(1, len(x) - 1), lambda i: [x[i], x[i + 1], x[i + 2]]))) AS s FROM k),
+             n AS (SELECT src, row_id, count(*) AS n FROM g GROUP BY ALL),
+             c AS (SELECT a.src, a.row_id AS key_a, b.row_id AS key_b, count(*) AS c FROM g a JOIN g b ON a.src = b.src AND a.s = b.s AND a.row_id < b.row_id GROUP BY ALL)
+        SELECT src, key_a, key_b FROM c JOIN n na USING (src) JOIN n nb USING (src) WHERE na.row_id = key_a AND nb.row_id = key_b AND c >= 0.6::double * (na.n + nb.n - c)
+        UNION SELECT a.src, a.row_id, b.row_id FROM k a JOIN k b ON a.src = b.src AND a.text = b.text AND a.row_id < b.row_id WHERE len(a.x) > 0""",
+    "p8_found": f"""WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_shared": f"""
+        WITH {_WINDOWS}, s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+             c AS (SELECT doc_id, sum(least(400, coalesce(nxt - p, 400)))::bigint AS n FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM w SEMI JOIN s USING (h)) GROUP BY doc_id)
+        SELECT doc_id, coalesce(length(text), 0)::int AS n_chars, coalesce(n, 0)::int AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(n, 0)::double / length(text), 6) ELSE 0.0::double END AS shared_share
+        FROM documents LEFT JOIN c USING (doc_id)""",
     "p2_found": r"""
         SELECT row_id, CASE WHEN list_max(list_transform(string_split_regex(code, '\r\n|\n|\r'), lambda x: length(x))) > 6000 THEN 'inside' ELSE 'line' END AS cut_kind
         FROM samples WHERE length(code) > 6000""",
