@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,21 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], bound: int =
     return rows.join(ids, key, "left_semi")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parent.parent)
+    if getattr(sc, "_quillon_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    at = Path(tempfile.mkdtemp()) / "quillon.zip"  # on the driver alone: Spark serves it to the executors
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._quillon_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
