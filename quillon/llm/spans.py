@@ -126,38 +126,40 @@ def _winnowed(key: np.ndarray, text: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def span_keys(b: Block, rounds: int, cover: int, winnow: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text of the block, key), distinct."""
+def span_keys(b: Block, rounds: int, cover: int, winnow: int, distinct: bool = True) -> tuple[np.ndarray, ...]:
+    """(text of the block, key, first and last place in characters that a span must hold), by text and key."""
     n = len(b.data)
     names, at = base_symbols(b)
     text = np.searchsorted(b.starts, at, "right") - 1
+    chars = np.zeros(n + 1, np.int64)
+    np.cumsum((b.data & 0xC0) != 0x80, out=chars[1:])
+    # stretches of one character have a key of their own: a shared span may cut them anywhere
     size = np.diff(np.append(at, n))
     long = np.flatnonzero(size >= LONG_RUN)
     long = long[[bool((b.data[at[k] : at[k] + size[k]] == b.data[at[k]]).all()) for k in long]] if len(long) else long
     run_text, run_key = text[long], mix(b.data[at[long]].astype(U64) * _M2 + U64(77))
+    run_from, run_to = chars[at[long] + size[long]] - LONG_RUN, chars[at[long]] + LONG_RUN
     names, at, text = compress(names, at, text, n, rounds)
-    # characters before each symbol
-    chars = np.zeros(n + 1, np.int64)
-    np.cumsum((b.data & 0xC0) != 0x80, out=chars[1:])
     at_char = chars[np.append(at, n)]
     stop = np.searchsorted(at_char, at_char[:-1] + cover)
-    whole = stop <= len(at)
-    i = np.flatnonzero(whole)
+    i = np.flatnonzero(stop <= len(at))
     i = i[text[i] == text[stop[i] - 1]]
     j = stop[i]
-    pw = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(names), _M1)]))
-    inv = np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(names), U64(pow(int(_M1), -1, 1 << 64)))]))
+    pw, inv = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(names), m)])) for m in (_M1, U64(pow(int(_M1), -1, 1 << 64))))
     total = np.zeros(len(names) + 1, U64)
     np.cumsum(mix(names) * pw[: len(names)], out=total[1:])
     key = mix((total[j] - total[i]) * inv[i])
     some = _winnowed(key, text[i], winnow)
-    t, k = np.concatenate([text[i[some]], run_text]), np.concatenate([key[some], run_key])
+    i, j, key = i[some], j[some], key[some]
+    t, k = np.concatenate([text[i], run_text]), np.concatenate([key, run_key])
+    first, last = np.concatenate([at_char[i], run_from]), np.concatenate([at_char[j], run_to])
     order = np.lexsort((k, t))
-    t, k = t[order], k[order]
-    if len(t):
+    t, k, first, last = t[order], k[order], first[order], last[order]
+    if len(t) and distinct:
         keep = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
-        t, k = t[keep], k[keep]
-    return t, k
+        t, k, first, last = t[keep], k[keep], first[keep], last[keep]
+    begin = chars[b.starts[t]]
+    return t, k, first - begin, last - begin
 
 
 def _keys(rounds: int, cover: int, winnow: int, least: int):
@@ -166,7 +168,7 @@ def _keys(rounds: int, cover: int, winnow: int, least: int):
             for b in blocks(batch.column(1)):
                 if not len(b.data):
                     continue
-                t, k = span_keys(b, rounds, cover, winnow)
+                t, k, _, _ = span_keys(b, rounds, cover, winnow)
                 f1 = hash_ranges(b, b.starts[:-1], b.starts[1:])
                 size = np.diff(b.starts)
                 first = np.searchsorted(t, np.arange(b.n + 1))
@@ -180,10 +182,27 @@ def _keys(rounds: int, cover: int, winnow: int, least: int):
     return run
 
 
-def shared_spans(x: str, y: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x and in y at which a window of ``least`` characters begins that the other has, too."""
-    hx, hy = window_hashes(x, least), window_hashes(y, least)
-    return np.flatnonzero(np.isin(hx, hy)), np.flatnonzero(np.isin(hy, hx))
+def _windows(rounds: int, cover: int, winnow: int, least: int):
+    """(doc_id, h): hashes of the windows of ``least`` characters that hold an occurrence of one of the row's keys."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, wanted = batch.column(0), batch.column(2)
+            for b in blocks(batch.column(1)):
+                t, k, first, last = span_keys(b, rounds, cover, winnow, distinct=False)
+                for d in range(b.n):
+                    lo, hi = np.searchsorted(t, (d, d + 1))
+                    hot = np.flatnonzero(np.isin(k[lo:hi].view(np.int64), np.array(wanted[b.first + d].as_py(), np.int64))) + lo
+                    h = window_hashes(batch.column(1)[b.first + d].as_py(), least)
+                    if not len(hot) or not len(h):
+                        continue
+                    edge = np.zeros(len(h) + 1, np.int64)  # windows between an occurrence's last end and its first start
+                    np.add.at(edge, np.clip(last[hot] - least, 0, len(h)), 1)
+                    np.add.at(edge, np.clip(first[hot] + 1, 0, len(h)), -1)
+                    some = np.unique(h[np.cumsum(edge[:-1]) > 0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ids[b.first + d].as_py(), np.int64)), pa.array(some.view(np.int64))], names=["doc_id", "key"])
+
+    return run
 
 
 def window_hashes(text: str, least: int) -> np.ndarray:
@@ -220,7 +239,7 @@ def _verify(least: int):
             yield pd.DataFrame(
                 {
                     "rep_a": [r[0] for r in rows], "rep_b": [r[1] for r in rows],
-                    "spans_a": [[{"s": s, "e": e} for s, e in r[2]] for r in rows], "spans_b": [[{"s": s, "e": e} for s, e in r[3]] for r in rows],
+                    **{c: pd.Series([[{"s": s, "e": e} for s, e in r[k]] for r in rows], dtype=object) for c, k in (("spans_a", 2), ("spans_b", 3))},
                 }
             )
 
@@ -230,7 +249,20 @@ def _verify(least: int):
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5) -> tuple[DataFrame, DataFrame]:
+def _meet(node: DataFrame, hot: int | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of documents with a key in common, keys of more than ``hot`` documents, which give no pairs here).
+
+    Most keys are of one document and end in the aggregate; those of two are pairs already; only the rest is joined.
+    """
+    per = materialise(node.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep_a"), F.max("doc_id").alias("rep_b")).where("n > 1 and rep_a < rep_b"), "keys")
+    most = F.lit(True) if hot is None else F.col("n") <= hot
+    few = only_ids(node, per.where((F.col("n") > 2) & most), "key")
+    a, b = few.select(F.col("doc_id").alias("rep_a"), "key"), few.select(F.col("doc_id").alias("rep_b"), "key")
+    pairs = per.where("n = 2").select("rep_a", "rep_b").unionByName(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b"))
+    return pairs, per.where(~most).select("key")
+
+
+def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5, hot: int = 256) -> tuple[DataFrame, DataFrame]:
     """(members, links) of docs (doc_id long, text string).
 
     members: doc_id, rep - every document of at least ``least`` bytes and the first one with the same text;
@@ -242,8 +274,13 @@ def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int =
     members = keyed.select("doc_id", "f1", "size").join(reps, ["f1", "size"]).select("doc_id", "rep").dropDuplicates(["doc_id"])
     # copies are few beside all documents: taking them out costs less than picking the others
     node = keyed.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    a, b = node.select(F.col("doc_id").alias("rep_a"), "key"), node.select(F.col("doc_id").alias("rep_b"), "key")
-    pairs = materialise(a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "candidates")
+    pairs, crowded = _meet(node, hot)
+    if crowded.limit(1).count():
+        # a passage shorter than asked for may be in very many documents: those meet on whole windows instead, which only true cases share
+        keys = only_ids(node, crowded, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        win = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(rounds, cover, winnow, least), "doc_id long, key long")
+        pairs = pairs.unionByName(_meet(materialise(win, "windows"), None)[0])
+    pairs = materialise(pairs.distinct(), "candidates")
     wanted = only_ids(docs, pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")), "doc_id")
     ta, tb = (wanted.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     links = (
