@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 
 
-def build_session(app: str = "quillon", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "quillon", master: str | None = None, shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     """A session with UTC time, AQE and skew-join handling; ANSI mode stays on."""
     b = (
         SparkSession.builder.appName(app)
@@ -24,6 +24,8 @@ def build_session(app: str = "quillon", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     if master:
         b = b.master(master)
     if shuffle_partitions:
