@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SECTIONS = ("model_configurations", "dataset_configurations", "prompt_strategies", "experiment_plans", "output_settings")
-# Older names of sections and options.
-OLDER = {"models": "model_configurations", "datasets": "dataset_configurations", "prompts": "prompt_strategies", "plans": "experiment_plans", "output": "output_settings"}
+SECTIONS = ("models", "datasets", "prompts", "experiment_plans", "output_settings")
+# Older names of sections.
+OLDER = {"model_configurations": "models", "dataset_configurations": "datasets", "prompt_strategies": "prompts", "plans": "experiment_plans", "output": "output_settings"}
 BACKEND_NAMES = ("vllm", "hf", "llama_cpp", "online", "stub")
 DECISION_MODES = ("majority_vote", "logprob_threshold")
 
@@ -44,18 +44,14 @@ def read(path: str | Path) -> dict:
 
 
 def compose(base: dict, discovered: dict | None = None, explicit: dict | None = None) -> dict:
-    """Sections merged key by key: explicit before discovered before base."""
-    out: dict = {}
-    for layer in (base, discovered or {}, explicit or {}):
-        for k, v in normalised(layer).items():
-            out[k] = {**out.get(k, {}), **v} if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
+    """Each section from the first source that has it: explicit, discovered, base."""
+    return normalised(base) | normalised(discovered or {}) | normalised(explicit or {})
 
 
 def problems(config: dict) -> list[str]:
     """What is wrong with a configuration; an empty list if nothing is."""
     out = [f"section {s} is missing" for s in SECTIONS[:3] if not config.get(s)]
-    for name, m in config.get("model_configurations", {}).items():
+    for name, m in config.get("models", {}).items():
         if m.get("backend", "stub") not in BACKEND_NAMES:
             out.append(f"model {name}: unknown backend {m['backend']}")
         mode, threshold = m.get("binary_decision_mode", "majority_vote"), m.get("binary_logprob_threshold")
@@ -64,8 +60,8 @@ def problems(config: dict) -> list[str]:
         if mode == "logprob_threshold" and not (m.get("enable_logprobs") and threshold is not None and 0 <= threshold <= 1):
             out.append(f"model {name}: a threshold between 0 and 1 and log-probabilities are needed")
     for name, plan in config.get("experiment_plans", {}).items():
-        for key, section in (("models", "model_configurations"), ("datasets", "dataset_configurations"), ("prompts", "prompt_strategies")):
-            out += [f"plan {name}: unknown {key[:-1]} {x}" for x in plan.get(key, []) if x not in config.get(section, {})]
+        for key in ("models", "datasets", "prompts"):
+            out += [f"plan {name}: unknown {key[:-1]} {x}" for x in plan.get(key, []) if x not in config.get(key, {})]
     return out
 
 

@@ -130,10 +130,10 @@ CONFIG = {"models": {"m": {}}, "datasets": {"d": {}}, "prompts": {"p": {}}, "pla
 
 def test_configuration(tmp_path):
     c = config.compose(CONFIG, {"models": {"m": {"backend": "hf"}}}, {"models": {"m": {"temperature": 1}}})
-    assert c["model_configurations"]["m"] == {"temperature": 1} and not config.problems(c)  # an entry replaces the one below it
+    assert c["models"]["m"] == {"temperature": 1} and not config.problems(c)  # a section replaces the one below it
     assert [e.name for e in config.expand(c, "x")] == ["m_d_p"]
     bad = config.compose(CONFIG, {"models": {"m": {"backend": "?", "binary_decision_mode": "logprob_threshold"}}, "plans": {"y": {"models": ["none"]}}})
     assert len(config.problems(bad)) == 3
-    (tmp_path / "models.json").write_text('{"m": {}}')
+    (tmp_path / "models.json").write_text('{"model_configurations": {"m": {}}}')
     (tmp_path / "plans.json").write_text('{"plans": {"x": {}}}')
-    assert config.read(tmp_path) == {"model_configurations": {"m": {}}, "experiment_plans": {"x": {}}}
+    assert config.read(tmp_path) == {"models": {"m": {}}, "experiment_plans": {"x": {}}}
