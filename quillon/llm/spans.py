@@ -70,7 +70,7 @@ def base_symbols(b: Block) -> tuple[np.ndarray, np.ndarray]:
             w = hash_ranges(Block(0, b.data[s:e], b.starts), p - s - 8, p - s)
             extra.append(p[(w & U64(7)) == 0])
         if extra:
-            at = np.union1d(at, np.concatenate(extra))
+            at = np.sort(np.concatenate([at, *extra]))
     stop = np.append(at[1:], n)
     names = hash_ranges(b, at, stop)
     size = stop - at
@@ -217,6 +217,13 @@ def window_hashes(text: str, least: int) -> np.ndarray:
     return mix((total[least:] - total[:-least]) * inv[: len(c) + 1 - least])
 
 
+def _places(h: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where ``h`` has a value of the sorted ``among``."""
+    if not len(among):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h)
+
+
 def _spans(places: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Maximal intervals covered by windows that begin at the places."""
     if not len(places):
@@ -228,12 +235,14 @@ def _spans(places: np.ndarray, least: int) -> list[tuple[int, int]]:
 def _verify(least: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows, held = [], (None, None)
+            rows, held, hx, sx = [], None, None, None
             for a, b, x, y in zip(pdf.rep_a, pdf.rep_b, pdf.text_a, pdf.text_b, strict=True):
-                if held[0] != a:
-                    held = (a, window_hashes(x, least))
+                if held != a:
+                    held, hx = a, window_hashes(x, least)
+                    sx = np.sort(hx)
                 hy = window_hashes(y, least)
-                px, py = np.flatnonzero(np.isin(held[1], hy)), np.flatnonzero(np.isin(hy, held[1]))
+                py = _places(hy, sx)
+                px = _places(hx, np.sort(hy[py])) if len(py) else py
                 if len(px) and any(x[p : p + least] in y for p in px[[0, -1]].tolist()):
                     rows.append((a, b, _spans(px, least), _spans(py, least)))
             yield pd.DataFrame(
