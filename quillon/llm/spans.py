@@ -4,7 +4,8 @@ A text begins as a sequence of tokens (words and single other characters, white
 their bytes. Each round names runs of a repeated symbol (block compression), then pairs of a left and a right symbol, the
 side being a bit of the symbol's name and the round (pair compression). A name is a hash of what it stands for, so the
 rounds need no dictionary and agree over all tasks: equal substrings get equal symbols except for a few at their borders.
-Runs of more than ``RUN_BYTES`` bytes are named alike whatever their length, since a shared span may cut them.
+Repetitions of more than ``RUN_BYTES`` bytes are named alike whatever their length, since a shared span may cut them, and
+have keys of their own.
 
 From each symbol of the last round on, the shortest sequence of symbols of at least ``cover`` characters is a key. A shared
 span of ``least`` characters keeps such a sequence inside after its borders are taken off. Texts with a key in common are candidates; an exact check on
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from quillon.session import materialise, only_ids
 
-from ._text import U64, BLANK, CONT, WORD, Block, blocks, classes, hash_ranges, mix
+from ._text import U64, CONT, WORD, Block, blocks, classes, hash_ranges, mix
 
-RUN_BYTES = 96
-LONG_RUN = 180
+RUN_BYTES = 48
+UNSPLIT = 64
 _M1, _M2 = U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03)
 
 
@@ -56,33 +57,42 @@ def base_symbols(b: Block) -> tuple[np.ndarray, np.ndarray]:
     begins = b.starts[:-1]
     new[begins[begins < n]] = True
     at = np.flatnonzero(new)
-    # long tokens would leave too little of a span inside: cut them after bytes that a hash of 8 bytes picks
+    # a long token would leave too little of a span inside: cut it after bytes that a hash of 8 bytes picks, and a
+    # stretch without any into single characters (a repeated pattern has none or many)
     size = np.diff(np.append(at, n))
-    if (big := np.flatnonzero(size > 24)).size:
-        w = np.zeros(n + 1, U64)
-        extra = []
-        for k in big:
-            s, e = at[k], at[k] + size[k]
-            if (b.data[s:e] == b.data[s]).all():
-                continue
-            p = np.arange(s + 8, e - 4)
-            p = p[c[p] != CONT]
-            w = hash_ranges(Block(0, b.data[s:e], b.starts), p - s - 8, p - s)
-            extra.append(p[(w & U64(7)) == 0])
-        if extra:
-            at = np.sort(np.concatenate([at, *extra]))
+    extra = []
+    for k in np.flatnonzero(size > 24):
+        s, e = int(at[k]), int(at[k] + size[k])
+        if (b.data[s:e] == b.data[s]).all():
+            continue
+        p = np.arange(s + 8, e)
+        p = p[c[p] != CONT]
+        p = p[(hash_ranges(Block(0, b.data[s:e], b.starts), p - s - 8, p - s) & U64(3)) == 0]
+        edges = np.concatenate([[s], p, [e]])
+        for i in np.flatnonzero(np.diff(edges) > UNSPLIT):
+            q = np.arange(edges[i] + 1, edges[i + 1])
+            extra.append(q[c[q] != CONT])
+        extra.append(p)
+    if extra:
+        at = np.sort(np.concatenate([at, *extra]))
     stop = np.append(at[1:], n)
     names = hash_ranges(b, at, stop)
-    size = stop - at
-    long = np.flatnonzero(size > RUN_BYTES)
-    for k in long:
+    for k in np.flatnonzero(stop - at >= RUN_BYTES):
         if (b.data[at[k] : stop[k]] == b.data[at[k]]).all():
-            names[k] = mix(U64(b.data[at[k]]) * _M1 + U64(RUN_BYTES) + np.zeros(1, U64))[0]
+            names[k] = _run_name(int(b.data[at[k]]))
     return names, at
 
 
-def compress(names: np.ndarray, at: np.ndarray, text: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after the rounds: names, byte starts and texts."""
+def _run_name(byte: int) -> np.uint64:
+    return mix(np.full(1, byte, U64) * _M2 + U64(77))[0]
+
+
+def compress(names: np.ndarray, at: np.ndarray, text: np.ndarray, weight: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, ...]:
+    """Symbols after the rounds: names, byte starts, texts, weights; then texts, names, first and last bytes of the long repetitions met.
+
+    A weight is a symbol's length in characters, with long repetitions counted as if cut where their name stops telling lengths apart.
+    """
+    long: list[tuple[np.ndarray, ...]] = []
     for r in range(rounds):
         if len(names) < 2:
             break
@@ -91,38 +101,45 @@ def compress(names: np.ndarray, at: np.ndarray, text: np.ndarray, n: int, rounds
         if same.any():
             head = np.flatnonzero(np.append(True, ~same))
             reps = np.diff(np.append(head, len(names)))
-            size = np.diff(np.append(at, n))[head]
+            ends = np.append(at, n)
+            size = (ends[1:] - ends[:-1])[head]
             most = RUN_BYTES // size + 1
-            runs = reps > 1
-            names, at, text = names[head], at[head], text[head]
+            runs = np.flatnonzero(reps > 1)
+            names, text, weight = names[head], text[head], weight[head]
+            stop = ends[head + reps]
+            at = at[head]
             names[runs] = mix(names[runs] * _M2 + np.minimum(reps, most)[runs].astype(U64))
+            weight[runs] *= np.minimum(reps, most)[runs]
+            big = runs[(reps >= most)[runs]]
+            if len(big):
+                need = (most * size)[big]
+                long.append((text[big], names[big], stop[big] - need, at[big] + need))
         # pairs
         side = (names >> U64(r % 60)) & U64(1)
-        first = (side[:-1] == 0) & (side[1:] == 1) & (text[1:] == text[:-1])
-        k = np.flatnonzero(first)
+        k = np.flatnonzero((side[:-1] == 0) & (side[1:] == 1) & (text[1:] == text[:-1]))
         names[k] = mix(names[k] * _M1 + names[k + 1] * _M2 + U64(r + 1))
+        weight[k] += weight[k + 1]
         keep = np.ones(len(names), bool)
         keep[k + 1] = False
-        names, at, text = names[keep], at[keep], text[keep]
-    return names, at, text
+        names, at, text, weight = names[keep], at[keep], text[keep], weight[keep]
+    none = np.zeros(0, np.int64)
+    cols = zip(*long, strict=True) if long else ()
+    return names, at, text, weight, *([np.concatenate(c) for c in cols] or [none, none.astype(U64), none, none])
 
 
-def _winnowed(key: np.ndarray, text: np.ndarray, w: int) -> np.ndarray:
-    """Places of the smallest key of each ``w`` consecutive ones of a text: equal stretches of w keys keep an equal one."""
+def _winnowed(key: np.ndarray, text: np.ndarray, place: np.ndarray, w: int, reach: int) -> np.ndarray:
+    """Indices of the smallest key of each window of at most ``w`` consecutive ones that begin within ``reach`` of each other."""
     n = len(key)
-    if w < 2 or not n:
-        return np.arange(n)
-    most = U64((1 << 64) - 1)
     low = key.copy()
-    for k in range(1, w):  # the smallest of key[i : i + w], cut at the text's end
-        near = np.full(n, most)
-        same = text[k:] == text[:-k]
-        near[: n - k][same] = key[k:][same]
-        np.minimum(low, near, out=low)
-    keep = np.zeros(n, bool)
-    for k in range(w):
-        hit = (key[k:] == low[: n - k]) & (text[k:] == text[: n - k])
-        keep[k:] |= hit
+    within = [None]
+    for k in range(1, min(w, n)):
+        ok = (text[k:] == text[:-k]) & (place[k:] - place[:-k] < reach)
+        within.append(ok)
+        near = low[: n - k]
+        near[ok] = np.minimum(near[ok], key[k:][ok])
+    keep = key == low
+    for k in range(1, min(w, n)):
+        keep[k:] |= within[k] & (key[k:] == low[: n - k])
     return np.flatnonzero(keep)
 
 
@@ -133,26 +150,30 @@ def span_keys(b: Block, rounds: int, cover: int, winnow: int, distinct: bool = T
     text = np.searchsorted(b.starts, at, "right") - 1
     chars = np.zeros(n + 1, np.int64)
     np.cumsum((b.data & 0xC0) != 0x80, out=chars[1:])
-    # stretches of one character have a key of their own: a shared span may cut them anywhere
-    size = np.diff(np.append(at, n))
-    long = np.flatnonzero(size >= LONG_RUN)
-    long = long[[bool((b.data[at[k] : at[k] + size[k]] == b.data[at[k]]).all()) for k in long]] if len(long) else long
-    run_text, run_key = text[long], mix(b.data[at[long]].astype(U64) * _M2 + U64(77))
-    run_from, run_to = chars[at[long] + size[long]] - LONG_RUN, chars[at[long]] + LONG_RUN
-    names, at, text = compress(names, at, text, n, rounds)
+    stop = np.append(at[1:], n)
+    weight = chars[stop] - chars[at]
+    # stretches of one character have a key of their own, as other long repetitions: a shared span may cut them anywhere
+    long = np.flatnonzero(stop - at >= RUN_BYTES)
+    long = long[[bool((b.data[at[k] : stop[k]] == b.data[at[k]]).all()) for k in long]] if len(long) else long
+    weight[long] = np.minimum(weight[long], RUN_BYTES)
+    run = [text[long], names[long], stop[long] - RUN_BYTES, at[long] + RUN_BYTES]
+    names, at, text, weight, *more = compress(names, at, text, weight, n, rounds)
+    run = [np.concatenate(x) for x in zip(run, more, strict=True)]
     at_char = chars[np.append(at, n)]
-    stop = np.searchsorted(at_char, at_char[:-1] + cover)
-    i = np.flatnonzero(stop <= len(at))
-    i = i[text[i] == text[stop[i] - 1]]
-    j = stop[i]
+    total_w = np.append(0, np.cumsum(weight))
+    j = np.searchsorted(total_w, total_w[:-1] + cover)
+    i = np.flatnonzero(j <= len(at))
+    i = i[text[i] == text[j[i] - 1]]
+    j = j[i]
     pw, inv = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(len(names), m)])) for m in (_M1, U64(pow(int(_M1), -1, 1 << 64))))
     total = np.zeros(len(names) + 1, U64)
     np.cumsum(mix(names) * pw[: len(names)], out=total[1:])
     key = mix((total[j] - total[i]) * inv[i])
-    some = _winnowed(key, text[i], winnow)
+    some = _winnowed(key, text[i], total_w[i], winnow, cover // 2)
     i, j, key = i[some], j[some], key[some]
-    t, k = np.concatenate([text[i], run_text]), np.concatenate([key, run_key])
-    first, last = np.concatenate([at_char[i], run_from]), np.concatenate([at_char[j], run_to])
+    t, k = np.concatenate([text[i], run[0]]), np.concatenate([key, run[1]])
+    # the outer symbols of a key may be repetitions longer than their names tell: only what they must have counts
+    first, last = np.concatenate([at_char[i + 1] - weight[i], chars[run[2]]]), np.concatenate([at_char[j - 1] + weight[j - 1], chars[run[3]]])
     order = np.lexsort((k, t))
     t, k, first, last = t[order], k[order], first[order], last[order]
     if len(t) and distinct:
