@@ -227,7 +227,7 @@ class CFamily(Grammar):
         start = rf"(?:={expr}|={B_I}|:{expr})?"
         one = rf"[*&At]*+(?:{name})(?:{suffix}){start}"
         self.decl = rf"(?:(?:{spec})+{one}(?:,{one})*+|t+|t*s{ident}?(?:{B_B}|{B_I})?t*)"
-        self.type_ = rf"(?:t|s{ident}|{ident})+[*&At]*+(?:{P_P}|{S_ANY})*"
+        self.type_ = rf"t*(?:s{ident}|t|{ident})t*[*&At]*+(?:{P_P}|{S_ANY})*"
         self.re_expr = re.compile(rf"(?:{exprs})\Z")
         arg = rf"(?:{expr}|{self.type_}|{B_I}|{B_B})"
         self.re_args = re.compile(rf"(?:{arg}(?:,{arg})*,?)?\Z")
@@ -335,7 +335,7 @@ class CFamily(Grammar):
         if c == "i" and p + 1 < len(s) and PAREN < ord(s[p + 1]) < PAREN + 16:
             if p + 2 == len(s):
                 return p + 2
-            return self.statement(s, p + 2)
+            return self.statement(s, p + 2) if s[p + 2] != ";" or (ord(s[p + 1]) - PAREN) & EXPR else -1
         return -1
 
     def special(self, s: str, p: int) -> int:
@@ -360,6 +360,8 @@ class CFamily(Grammar):
             if q < len(s) and BRACE < ord(s[q]) < BRACE + 16 and (ord(s[q]) - BRACE) & BLOCK:
                 q += 1
                 return q + 1 if s[q : q + 1] == ";" else q
+            if self.cpp and (m2 := re.compile(r"(?:=[nOw])?;").match(s, q)):  # declared, defaulted or deleted member
+                return m2.end()
         m = self.re_top_decl.match(s, p)
         if m:
             return m.end()
@@ -466,8 +468,6 @@ class Cpp(CFamily):
         m = self.re_ctor.match(s, q)
         if m:
             return m.end()
-        if s[q : q + 1] == "=" and s[q + 1 : q + 2] in "nOw":
-            return q
         return q
 
     def external(self, s: str, p: int) -> int:
@@ -523,7 +523,7 @@ class JavaFamily(Grammar):
         dots = r"i(?:\.i)*+"
         typ = self.typ = rf"(?:v|{dots})(?:{S_E})*+"
         lam = rf"(?:(?:{P_ANY}|i)l(?:{B_B}))"
-        lam_head = rf"(?:(?:{P_ANY}|i)l)"
+        lam_head = rf"(?:(?:{P_ANY}|i)l(?!{B_B}))"
         unit = rf"(?:[au]|p|{P_P}(?=[auinpwv{P_ANY[1:-1]}]))*+(?:{lam}|w(?:v|{dots})(?:{S_ANY})*+(?:{P_E}(?:{B_M})?|{B_I})?+|i|n|v(?={S_E}|\.)|{P_E}|S{P_E}{B_B})(?:{P_E}|{S_I}|{S_E}|\.(?:i|w{dots}{P_E}|s)|p|d(?:i|w))*+"
         op = r"(?:[ab<=o]|>{1,3})"
         flat = rf"(?:{lam_head})*+{unit}(?:x(?:t*{typ}(?:i)?|{unit})|{op}(?:{lam_head})*+{unit})*+"
@@ -687,7 +687,7 @@ class CSharp(JavaFamily):
             rf"(?:[au]|p|{P_P}(?=[auinpwv{P_ANY[1:-1]}]))*+(?:(?:t*(?:{P_ANY}|i)l|q{P_ANY}?){B_B}|w(?:v|{dots})?\??(?:{S_ANY})*+(?:{P_E})?+(?:{B_I}|{B_B})?+|i|n|v(?=\.)|{P_E}|X{P_ANY}|O(?:{P_ANY})?)"
             rf"(?:{P_E}|{S_I}|{S_E}|\.i|di|p|u(?![inv]))*+(?:S{B_I})?"
         )
-        head = rf"(?:t*(?:{P_ANY}|i)l)"
+        head = rf"(?:t*(?:{P_ANY}|i)l(?!{B_B}))"
         op = r"(?:[ab<=o]|>{1,3})"
         piece = rf"(?:{head})*+(?:X)?{unit}"
         pattern = rf"(?:u|i)?(?:{typ}(?:i)?(?:{B_I})?|{unit}|{B_I}i?)"
