@@ -65,8 +65,8 @@ def calibration(votes: DataFrame, keys: list[str], digits: int = 6) -> DataFrame
 def confidence_histogram(votes: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """The share of samples at each confidence level of a common grid; 0 where a key has none."""
     n = votes.groupBy(*keys, "votes", "total").agg(F.count("*").alias("n"))
-    levels = votes.select("votes", "total").distinct().agg(F.collect_set(F.struct("votes", "total")).alias("l"))
-    grid = n.select(*keys).distinct().join(F.broadcast(levels)).select(*keys, F.explode("l").alias("x")).select(*keys, "x.votes", "x.total")  # one row of levels
+    levels = F.collect_set(F.struct("votes", "total")).over(W.partitionBy(F.lit(0)))  # over the counts: a row per key and level
+    grid = n.select(*keys, levels.alias("l")).dropDuplicates(keys).select(*keys, F.explode("l").alias("x")).select(*keys, "x.votes", "x.total")
     dense = grid.join(n, [*keys, "votes", "total"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return dense.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(*keys)), digits))
 

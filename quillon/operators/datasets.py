@@ -74,9 +74,10 @@ def balanced(df: DataFrame, label: str, row_id: str, seed: str = "42") -> DataFr
     """
     t = df.where(F.col(label).isNotNull()).withColumn("_h", order_key(seed, F.col(row_id))).withColumn("_b", F.substring("_h", 1, 2))
     sizes = t.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(label).orderBy("_b")) - F.col("_n"))
-    least = t.groupBy(label).agg(F.count("*").alias("_c")).agg(F.min("_c").alias("_least"))
-    plan = before.join(F.broadcast(least)).select(label, "_b", "_before", "_least")  # a row per class and bucket
+    plan = (  # a row per class and bucket
+        sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(label).orderBy("_b")) - F.col("_n")).withColumn("_c", F.sum("_n").over(W.partitionBy(label)))
+        .withColumn("_least", F.min("_c").over(W.partitionBy(F.lit(0)))).select(label, "_b", "_before", "_least")
+    )
     ranked = t.join(plan, [label, "_b"]).where("_before < _least")
     rank = F.col("_before") + F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", row_id))
     return ranked.withColumn("_rank", rank).where("_rank <= _least").drop("_h", "_b", "_before", "_least", "_rank")

@@ -62,6 +62,5 @@ def complete_only(votes: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def assert_error_rate(results: DataFrame, most: float = 0.2) -> DataFrame:
     """``results`` unless more than that share of rows failed; the check runs with the plan, not before it."""
-    share = results.agg(F.avg((~F.coalesce("is_success", F.lit(False))).cast("double")).alias("_failed"))
-    checked = share.select(F.when(F.col("_failed") > most, F.raise_error(F.format_string("%.3f of the rows failed", F.col("_failed")))).alias("_error"))
-    return results.join(F.broadcast(checked)).where(F.col("_error").isNull()).drop("_error")  # one row
+    failed = results.agg(F.avg((~F.coalesce("is_success", F.lit(False))).cast("double")).alias("_failed")).scalar()
+    return results.where(F.when(failed > most, F.raise_error(F.format_string("%.3f of the rows failed", failed))).isNull())

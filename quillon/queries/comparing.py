@@ -311,8 +311,9 @@ def sta_model_table(spark, d):
     m = _metrics(spark, d, "model_name")
     s = table(spark, d, "prediction_results").join(table(spark, d, "runs").select("run_id", "model_name"), "run_id").groupBy("model_name").agg(F.round(F.avg("processing_time"), 6).alias("mean_time"))
     j = m.join(s, "model_name")
-    best = j.agg(F.max_by("model_name", F.struct("accuracy", "model_name")).alias("a"), F.min_by("model_name", F.struct("mean_time", "model_name")).alias("f"))
-    return j.join(F.broadcast(best)).select("model_name", "accuracy", "f1", "mean_time", (F.col("model_name") == F.col("a")).alias("is_most_accurate"), (F.col("model_name") == F.col("f")).alias("is_fastest"))  # one row of winners
+    every = W.partitionBy(F.lit(0))  # a row per model
+    best, fast = (F.struct(c, "model_name") for c in ("accuracy", "mean_time"))
+    return j.select("model_name", "accuracy", "f1", "mean_time", (best == F.max(best).over(every)).alias("is_most_accurate"), (fast == F.min(fast).over(every)).alias("is_fastest"))
 
 
 @query(f"WITH {_m('experiment_name')} SELECT experiment_name, tp + fn AS positives, tn + fp AS negatives FROM m")

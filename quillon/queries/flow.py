@@ -42,7 +42,7 @@ def src_jsonl_corrupt(spark, d):
     lines.write.text(p)
     spark.sql("SELECT explode(array('{\"idx\": 1', '', '   ', 'no json')) AS value").write.mode("append").text(p)
     good, bad = readers.jsonl(spark, p, "idx string, target int")
-    return good.agg(F.count("*").alias("good")).join(F.broadcast(bad.agg(F.count("*").alias("corrupt"))))  # one row each
+    return good.agg(F.count("*").alias("good")).select("good", bad.agg(F.count("*").alias("corrupt")).scalar().alias("corrupt"))
 
 
 @query("SELECT md5(func_before) AS before, md5(func_after) AS after, commit_url, cve_id, cwe_id, extension, is_test FROM (SELECT nullif(func_before, '') AS func_before, nullif(func_after, '') AS func_after, nullif(commit_url, '') AS commit_url, nullif(cve_id, '') AS cve_id, nullif(cwe_id, '') AS cwe_id, nullif(extension, '') AS extension, nullif(is_test, '') AS is_test FROM cleanvul_raw)")

@@ -136,5 +136,5 @@ def orc_per_class_datasets(spark, d):
     classes = p.select(F.explode("cwe").alias("c")).agg(F.collect_set("c").alias("cs"))
     pos = p.select(F.explode(F.array_distinct("cwe")).alias("target"), "row_id", F.lit("1").alias("label"))
     safe = p.where("target = 0").select("row_id", F.coalesce("cwe", F.array().cast("array<string>")).alias("own"))
-    neg = safe.join(F.broadcast(classes)).select(F.explode(F.array_except("cs", "own")).alias("target"), "row_id", F.lit("0").alias("label"))  # one row of classes
+    neg = safe.select(F.explode(F.array_except(classes.scalar(), F.col("own"))).alias("target"), "row_id", F.lit("0").alias("label"))
     return pos.unionByName(neg)
