@@ -17,7 +17,7 @@ VERDICT_LINE = re.compile(
 )
 VERDICT_ANYWHERE = re.compile(
     rf"""\[\[\s*FINAL_ANSWER\s*:\s*[\w*"'] | "is_vulnerable"\s*:\s*(?:true|false) |
-    ^\W*(?:FINAL[ ]ANSWER|ANSWER|VERDICT|DECISION|URTEIL|VEREDICTO)\W{{1,6}}{LABEL}\b | ^\W*{BARE}\W*$""",
+    ^[^\w\n]*(?:FINAL[ ]ANSWER|ANSWER|VERDICT|DECISION|URTEIL|VEREDICTO)\W{{1,6}}{LABEL}\b | ^[^\w\n]*{BARE}[^\w\n]*$""",
     re.I | re.X | re.M,
 )
 VERDICT_WORD = re.compile(
@@ -76,9 +76,8 @@ def ending(text: str) -> str:
         return "complete"
     if mostly_code(lines):
         return "code"
-    if re.search(r"^\s*\{", s, re.M):
-        at = [m.start() for m in re.finditer(r"^\s*\{", s, re.M)][-1]
-        tail = s[at:]
+    if at := [m.start() for m in re.finditer(r"^[ \t]*\{", s, re.M)]:
+        tail = s[at[-1] :]
         if tail.count("{") > tail.count("}") and len(tail) < 400:
             return "broken"
     if bare.endswith(("}", "]")):
@@ -103,7 +102,7 @@ def is_empty(text: str | None) -> bool:
     s = text.strip()
     if not s or ERROR_NOTICE.fullmatch(s):
         return True
-    s = re.sub(r"```\w*|\[\[\s*FINAL_ANSWER\s*:?\s*\]\]|^\W*(?:FINAL ANSWER|ANSWER|VERDICT)\W*$|\b(?:null|none|n/?a|empty|undefined)\b", " ", s, flags=re.I | re.M)
+    s = re.sub(r"```\w*|\[\[\s*FINAL_ANSWER\s*:?\s*\]\]|^[^\w\n]*(?:FINAL ANSWER|ANSWER|VERDICT)[^\w\n]*$|\b(?:null|none|n/?a|empty|undefined)\b", " ", s, flags=re.I | re.M)
     return not re.search(r"\w", s)
 
 
@@ -117,7 +116,7 @@ def has_verdict(text: str) -> bool:
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*(?:\"|$)|“[^”\n]*”?|„[^“”\n]*[“”]?|«[^»\n]*»?")
-_IDENTIFIER = re.compile(r"\b\w*(?:_\w+|[a-z][A-Z]\w*|\d\w*)\b|\b[A-Z]{2,}\b|\[\[.*?\]\]|\{[^{}]*\}")
+_IDENTIFIER = re.compile(r"\b\w*(?:_\w+|[a-z][A-Z]\w*|\d\w*)\b|\b[A-Z]{2,}\b|\[\[[^\[\]\n]*\]\]|\{[^{}]*\}")
 # Frequent function words of languages.
 STOPWORDS = {
     "en": "the of and to is in that it with as for on are this be not by or from at which but an was its if without so before after there has have may would only i you we how into what when then they their one any all each no than can could should does did here looked matches pattern because".split(),

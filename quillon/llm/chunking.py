@@ -8,7 +8,7 @@ alters only the pieces around it. Within a line a piece ends only if no line end
 Consecutive pieces share exactly ``overlap`` characters: each piece begins that much before its own part. The own parts
 concatenated give the text.
 
-Results on special input: null texts and texts of at most ``limit`` characters give no pieces. Lines end with LF, CRLF or a lone CR;
+Results on special input: null texts, rows without an id and texts of at most ``limit`` characters give no pieces. Lines end with LF, CRLF or a lone CR;
 a CRLF is never cut. Characters are code points. Repeated ids give pieces for each row. Other columns are not read.
 """
 
@@ -115,7 +115,7 @@ def chunk(texts: DataFrame, limit: int = 6000, overlap: int = 200, with_text: bo
                     rows = []
             yield pd.DataFrame(rows, columns=COLUMNS)
 
-    long = texts.select(F.col("row_id").cast("long").alias("row_id"), "text").where(F.length("text") > limit)
+    long = texts.select(F.col("row_id").cast("long").alias("row_id"), "text").where((F.length("text") > limit) & F.col("row_id").isNotNull())
     return long.mapInPandas(run, SCHEMA)
 
 

@@ -10,7 +10,7 @@ none. Candidates are verified on the words themselves.
 Item keys go to every executor only if the items hold at most ``BROADCAST_WORDS`` words (measured first); otherwise documents
 and items meet in a shuffle on the sampled keys.
 
-Results on special input: null, empty and blank texts contain nothing; items of fewer than ``window`` words cannot leak.
+Results on special input: null, empty and blank texts and rows without an id contain nothing; items of fewer than ``window`` words cannot leak.
 Repeated documents and items give one row for each pair of ids. Other columns are not read.
 """
 
@@ -222,8 +222,8 @@ def find_leaks(
     doc_id, item_id, edits (fewest of a window), run_words (longest run of equal words), covered_words of item_words.
     """
     steps = sampled_steps(window, sample, repetitions(window, max_edits, sample, target_recall), bool(max_edits))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).dropDuplicates(["item_id"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").dropDuplicates(["item_id"])
     size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     if size * len(steps) <= broadcast_words:
         held = [(r.item_id, r.text) for r in items.collect()]

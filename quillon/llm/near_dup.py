@@ -8,7 +8,7 @@ long as the recall estimated from the verified pairs (each weighted by the inver
 the target. A 128-bit sketch drops hopeless candidates inside the join (a true pair is lost with chance under 1e-5);
 the rest is verified on the whole texts.
 
-Results on special input: null and blank texts belong to no group and no pair. Texts with fewer than ``shingle`` tokens
+Results on special input: null and blank texts and rows without src or id belong to no group and no pair. Texts with fewer than ``shingle`` tokens
 have no run and are alike only if they are equal. Equal texts are alike whatever their length. Repeated row ids count
 once. Empty tables give empty results. Only the two named columns are read, so further ones may have any name.
 """
@@ -157,7 +157,7 @@ def near_duplicates(
     members: src, row_id, rep, n - every row with a token and the first row of its class; links: src, rep_a < rep_b, similarity -
     class representatives alike by the threshold or more. Nothing is expanded into pairs of copies.
     """
-    texts = texts.select("src", F.col("row_id").cast("long").alias("row_id"), "text")
+    texts = texts.select("src", F.col("row_id").cast("long").alias("row_id"), "text").where("src is not null and row_id is not null")
     depth = depth_for(threshold, trees, target_recall)
     while True:
         sig = materialise(texts.where(F.col("text").isNotNull()).mapInArrow(_signatures(shingle, trees, depth), SIGNATURE), "forest")

@@ -13,7 +13,7 @@ the whole texts (hashes of all windows of ``least`` characters, then the charact
 
 Equal texts form a class whose first document goes on; classes are expanded into pairs at the end, if pairs are asked for.
 
-Results on special input: null texts and texts below ``least`` characters share nothing. Characters are code points, compared exactly.
+Results on special input: null texts, rows without an id and texts below ``least`` characters share nothing. Characters are code points, compared exactly.
 Repeated ids count once. Other columns are not read.
 """
 
@@ -298,7 +298,7 @@ def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int =
     members: doc_id, rep - every document of at least ``least`` bytes and the first one with the same text;
     links: rep_a < rep_b, spans_a, spans_b - maximal intervals of characters that windows of ``least`` shared characters cover.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     keyed = materialise(docs.mapInArrow(_keys(rounds, cover, winnow, least), "doc_id long, f1 long, size long, keys array<long>"), "spans")
     reps = keyed.groupBy("f1", "size").agg(F.min("doc_id").alias("rep"))
     members = keyed.select("doc_id", "f1", "size").join(reps, ["f1", "size"]).select("doc_id", "rep").dropDuplicates(["doc_id"])

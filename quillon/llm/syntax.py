@@ -4,7 +4,7 @@ Each text is parsed by the grammar of the language it claims; that decides wheth
 all other grammars, in the order of how many of its tokens speak for each language: the first success names the language of a
 wrong extension; if every grammar fails, the text is corrupt. Equal texts of a partition's batch are parsed once.
 
-Results on special input: null and blank texts and unknown languages are not judged (no row). Line ends and indentation of the whole do not
+Results on special input: null and blank texts, rows without an id and unknown languages are not judged (no row). Line ends and indentation of the whole do not
 matter. Repeated rows count each. Empty tables give empty results. Other columns are not read.
 """
 
@@ -63,7 +63,7 @@ def check_syntax(texts: DataFrame) -> DataFrame:
                 }
             )
 
-    judged = texts.where(F.col("text").rlike(r"\S") & F.col("language").isin(*GRAMMARS))
+    judged = texts.where(F.col("row_id").isNotNull() & F.col("text").rlike(r"\S") & F.col("language").isin(*GRAMMARS))
     return judged.select("src", "row_id", "repository", "language", "text").mapInPandas(run, SCHEMA)
 
 

@@ -10,7 +10,7 @@ An answer counts as truncated if its ending is broken (mid-word, mid-sentence, i
 mark in place of the rest), or if its ending is merely open (a line without an end mark that may be a note) and its length is a
 significant one. Answers cut exactly after a complete sentence cannot be told from complete ones and are not flagged.
 
-Results on special input: null and blank answers, error notices, answers that are source text alone and copies of the
+Results on special input: rows without an id are left out; null and blank answers, error notices, answers that are source text alone and copies of the
 question's instruction are not truncated. Repeated rows count each. Empty tables give empty results. Other columns are not read.
 """
 
@@ -56,7 +56,7 @@ def endings(answers: DataFrame) -> DataFrame:
                 }
             )
 
-    return answers.where(F.col("text").isNotNull()).select("src", "row_id", "pos", "source", "template", "text").mapInPandas(run, ENDINGS)
+    return answers.where("text is not null and row_id is not null and pos is not null").select("src", "row_id", "pos", "source", "template", "text").mapInPandas(run, ENDINGS)
 
 
 @F.pandas_udf(DoubleType())
