@@ -88,7 +88,13 @@ def ending(text: str) -> str:
         if ABBREVIATION.search(bare) or LIST_NUMBER.fullmatch(bare) or quotes:
             return "complete" if closed else "broken"
         return "complete"
-    if closed or not bare[-1].isascii() and not bare[-1].isalnum() and not bare[-1].isspace() and ord(bare[-1]) > 0x2190:
+    if closed:  # a note behind the verdict
+        if re.fullmatch(r"([-=*_~])\1+ .+ ([-=*_~])\2+|([-=*_~])\3+", bare):
+            return "complete"
+        if bare.count("(") > bare.count(")") or bare.startswith("--") or bare[-1] in ",-/:" or re.search(r"/\w+$", bare):
+            return "broken"
+        return "complete" if re.match(r"[-*# ]*[^\W\d_][\w ]{1,30}:\s+\S|\(.*\)$", bare) else "open"
+    if not bare[-1].isascii() and not bare[-1].isalnum() and not bare[-1].isspace() and ord(bare[-1]) > 0x2190:
         return "complete"
     if NOTE.match(bare) and not LIST_NUMBER.match(bare) and len(bare) < 80 and len(lines) > 1 and not re.match(r"\W*(?:FINAL|ANSWER|VERDICT|DECISION)", bare, re.I):
         return "open"
