@@ -188,7 +188,9 @@ def opening(text: str, words: int = 8) -> str:
 def without_instruction(text: str, template: str) -> list[str]:
     """The non-blank lines of an answer that the template doesn't hold word for word."""
     held = " " + " ".join(words_of(template)) + " "
-    return [x for x in LINES.split(text) if x.strip() and (not (w := words_of(x)) or f" {' '.join(w)} " not in held)]
+    fenced = "```" in template
+    lines = [re.sub(r"^> ?", "", x) for x in LINES.split(text)]
+    return [x for x in lines if x.strip() and not (fenced and x.strip() == "```") and (not (w := words_of(x)) or f" {' '.join(w)} " not in held)]
 
 
 _W = re.compile(r"\w+")
