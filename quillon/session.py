@@ -73,6 +73,11 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], bound: int =
     return rows.join(ids, key, "left_semi")
 
 
+def if_small(df: DataFrame, bound: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``bound`` rows, counted first; else as it is."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their Python path has it already."""
     sc = spark.sparkContext
