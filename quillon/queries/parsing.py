@@ -10,6 +10,7 @@ from quillon.functions.text import last_match, strip
 from quillon.operators import datasets as D
 from quillon.plans import prompts as T
 from quillon.session import table
+from quillon.sources import samples as S
 
 from ._registry import PRED, predictions, query
 
@@ -357,3 +358,62 @@ def prj_prompt_render(spark, d):
     s = table(spark, d, "samples").groupBy(F.col("id").alias("sample_id")).agg(F.min("code").alias("code"))
     x = table(spark, d, "prediction_results").select("row_id", "run_id", "sample_id").join(table(spark, d, "runs").select("run_id", "prompt_id"), "run_id").join(table(spark, d, "prompts"), "prompt_id").join(s, "sample_id")
     return x.select("row_id", F.md5(T.render_column(F.col("user_prompt_template"), F.col("code"))).alias("digest"))
+
+
+# ---- conversions of whole sources, over adapted tables ----
+
+_PV = r"""pv AS (SELECT row_id, project, target, cwe, cve, regexp_replace(coalesce(func, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS code, [CASE WHEN target = 1 AND row_id % 5 < 4 THEN ['Buffer-Overflow', 'Memory-Leak', 'Other', 'Race-Condition'][row_id % 5 + 1] END, CASE WHEN target = 1 AND row_id % 7 = 0 THEN 'Double-Free' END] AS raw FROM primevul_raw),
+    ty AS (SELECT *, list_filter(raw, lambda x: x IS NOT NULL) AS types FROM pv WHERE code <> '')"""
+_SEV = "CASE WHEN len({0}) > 0 THEN coalesce(list_filter(list_transform({0}, lambda x: CASE WHEN x IN ('Buffer-Overflow', 'Integer-Overflow', 'Use-After-Free', 'Double-Free', 'Format-String-Vulnerability') THEN 'high' WHEN x IN ('Null-Pointer-Dereference', 'Memory-Leak', 'Race-Condition', 'Improper-Access-Control') THEN 'medium' END), lambda x: x IS NOT NULL)[1], 'low') END"
+
+
+def _typed(spark, d):
+    kinds = F.array(*(F.lit(x) for x in ("Buffer-Overflow", "Memory-Leak", "Other", "Race-Condition")))
+    a = F.when((F.col("target") == 1) & (F.col("row_id") % 5 < 4), F.try_element_at(kinds, (F.col("row_id") % 5 + 1).cast("int")))
+    b = F.when((F.col("target") == 1) & (F.col("row_id") % 7 == 0), "Double-Free")
+    return table(spark, d, "primevul_raw").select("row_id", F.col("project").alias("dataset"), (F.col("target") == 1).alias("vulnerable"), F.array(a, b).alias("vulnerability_types"), F.col("func").alias("code"))
+
+
+@query(
+    f"""WITH {_PV} SELECT 'binary' AS task, concat_ws('_', 'typed', project, row_id) AS id, CASE WHEN target = 1 THEN '1' ELSE '0' END AS label, {_SEV.format('types')} AS severity FROM ty
+    UNION ALL SELECT 'multiclass', concat_ws('_', 'typed', project, row_id, 'multiclass'), CASE len(types) WHEN 0 THEN 'SAFE' WHEN 1 THEN types[1] ELSE 'Multiple-Vulnerabilities' END, {_SEV.format('types')} FROM ty
+    UNION ALL SELECT 'specific', concat_ws('_', 'typed', project, row_id, 'Memory_Leak'), CASE WHEN list_contains(types, 'Memory-Leak') THEN '1' ELSE '0' END, CASE WHEN list_contains(types, 'Memory-Leak') THEN 'medium' END FROM ty WHERE list_contains(types, 'Memory-Leak') OR target <> 1"""
+)
+def nrm_typed_source(spark, d):
+    """The type-labelled source in its three task modes."""
+    x = _typed(spark, d)
+    out = None
+    for task, target in (("binary", None), ("multiclass", None), ("specific", "Memory-Leak")):
+        one = S.typed(x, task, "row_id", target).select(F.lit(task).alias("task"), "id", "label", "severity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""WITH x AS (SELECT row_id, {_strip("coalesce(func_before, '')")} AS code, is_test, coalesce(nullif(regexp_extract({_U}, 'CWE-\\d+'), ''), 'CWE-' || nullif(regexp_extract({_U}, '\\b(\\d+)\\b', 1), '')) AS c FROM cleanvul_raw)
+    SELECT t AS task, concat_ws('_', 'task', t, row_id) AS id, CASE WHEN t = 'task1' THEN CASE WHEN upper(coalesce(is_test, '')) = 'YES' THEN '1' ELSE '0' END ELSE coalesce(is_test, '') END AS label, coalesce(c, '') AS cwe,
+        {_HML("regexp_replace(c, '^CWE-', '')", N.SEVERITY_BY_CWE_FIVE_TASKS['high'], N.SEVERITY_BY_CWE_FIVE_TASKS['medium'], ('high', 'medium', 'low'))} AS severity FROM x, (VALUES ('task1'), ('task2')) v(t) WHERE code <> ''"""
+)
+def nrm_five_task_source(spark, d):
+    x = table(spark, d, "cleanvul_raw").select(F.col("row_id").alias("idx"), F.col("func_before").alias("code"), F.col("is_test").alias("answer"), F.col("cwe_id").alias("cwe"))
+    out = None
+    for task in ("task1", "task2"):
+        one = S.five_tasks(x, task).select(F.lit(task).alias("task"), "id", "label", F.array_join("cwe_types", ",").alias("cwe"), "severity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT concat_ws('_', 'tokens', 'sql', row_id) AS id, CASE WHEN len(cwe_types) > 0 THEN '1' ELSE '0' END AS label, CASE WHEN len(cwe_types) > 0 THEN 'CWE-89' ELSE '' END AS cwe, CASE WHEN len(cwe_types) > 0 THEN 'high' END AS severity FROM samples WHERE {_strip('code')} <> ''")
+def nrm_token_source(spark, d):
+    x = table(spark, d, "samples").select("row_id", "code", F.col("cwe_types").alias("vulnerable_tokens"))
+    return S.token_labelled(x, "sql", "row_id").select("id", "label", F.array_join("cwe_types", ",").alias("cwe"), "severity")
+
+
+@query(
+    f"""WITH x AS (SELECT row_id, func_before, func_after, commit_msg, nullif(regexp_extract({_U}, 'CWE-\\d+'), '') AS c FROM cleanvul_raw), p AS (SELECT *, CASE WHEN coalesce({_strip('commit_msg')}, '') <> '' THEN '// Call graph context:\n// ' || commit_msg || '\n\n' ELSE '' END AS head FROM x)
+    SELECT 'pair_' || row_id || '_vulnerable' AS id, '1' AS label, md5(head || func_before) AS digest, {_HML("regexp_replace(c, '^CWE-', '')", N.SEVERITY_BY_CWE['HIGH'], N.SEVERITY_BY_CWE['MEDIUM'], ('HIGH', 'MEDIUM', 'LOW'))} AS severity FROM p WHERE coalesce({_strip('func_before')}, '') <> ''
+    UNION ALL SELECT 'pair_' || row_id || '_non_vulnerable', '0', md5(head || func_after), NULL FROM p WHERE coalesce({_strip('func_after')}, '') <> ''"""
+)
+def nrm_function_pairs(spark, d):
+    x = table(spark, d, "cleanvul_raw").select("row_id", F.col("func_before").alias("vulnerable_function_body"), F.col("func_after").alias("non_vulnerable_function_body"), F.col("commit_msg").alias("call_graph"), F.col("cwe_id").alias("cwe"))
+    return S.function_pairs(x, "row_id", call_graph=True).select("id", "label", F.md5("code").alias("digest"), "severity")
