@@ -221,5 +221,13 @@ def is_copy(answer: str, runs: set, short: list[tuple[str, ...]] = ()) -> bool:
         return True
     if len(w) < 5:
         return False
-    left = uncovered(w, runs)
-    return len(left) <= max(4, len(w) // 50) and len(left) < 0.5 * len(w)
+    most = min(max(4, len(w) // 50), (len(w) - 1) // 2)
+    # words that no run of five covers, up to one more than allowed
+    left, covered = 0, 0
+    for i in range(len(w) - 4):
+        if tuple(w[i : i + 5]) in runs:
+            left += max(0, i - covered)
+            covered = i + 5
+        if left + max(0, i - covered) > most:
+            return False
+    return left + max(0, len(w) - covered) <= most

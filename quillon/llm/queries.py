@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import materialise, table
+from quillon.session import if_small, materialise, table
 
 from . import chunking, encode, leak, near_dup, pairs, spans, syntax, truncation
 
@@ -69,9 +69,9 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """Of each run: its prompt. Both tables are fixed and of a few dozen rows."""
+    """Of each run: its prompt. Runs are few and one of them holds many answers: joined by a broadcast while they are."""
     prompts = table(spark, d, "prompts").select("prompt_id", "prompt_lang", F.col("user_prompt_template").alias("template"))
-    return table(spark, d, "runs").select("run_id", "prompt_id").join(prompts, "prompt_id", "left")
+    return if_small(table(spark, d, "runs").select("run_id", "prompt_id").join(prompts, "prompt_id", "left"))
 
 
 def _flagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
