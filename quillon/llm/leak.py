@@ -3,9 +3,12 @@
 A text is the sequence of its words: maximal runs of ASCII letters, digits and underscores, without case. Every window of
 ``window`` words is embedded by a random walk: in each of 3 * window steps the walk emits the word it stands on (a filler past
 the end) and a random bit of that word and step says whether it moves on. Windows that differ by few edits give emitted
-sequences that differ in few places, and equal windows equal ones. A repetition samples ``sample`` of the places; windows
-with equal samples are candidates. There are as many repetitions as the target recall at ``max_edits`` edits needs: one for
-none. Candidates are verified on the words themselves.
+sequences that differ in few places, and equal windows equal ones. A repetition makes a walk of its own and samples ``sample`` of its places; windows
+with equal samples are candidates. There are as many repetitions as the target recall at ``max_edits`` edits needs by the
+collision rates measured on windows with so many random edits: one for none. Candidates are verified on the words themselves.
+
+Of max_edits + 1 equal pieces of a window, ``max_edits`` edits leave one as it is. With edits allowed, only windows around a run of
+``window // (max_edits + 1)`` words that the other side has are walked; no window within ``max_edits`` edits is left out by that.
 
 Item keys go to every executor only if the items hold at most ``BROADCAST_WORDS`` words (measured first); otherwise documents
 and items meet in a shuffle on the sampled keys.
@@ -16,10 +19,10 @@ Repeated documents and items give one row for each pair of ids. Other columns ar
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,6 @@ BROADCAST_WORDS = 4_000_000
 FILLER = U64(0x5BD1E9955BD1E995)
 
 
-def repetitions(window: int, max_edits: int, sample: int, target: float) -> int:
-    """How often to sample. A walk over texts that are e edits apart differs in about 2e places (and e * e in rare cases; 3e is used)."""
-    if not max_edits:
-        return 1
-    equal = max(0.05, 1 - 3 * max_edits / (3 * window)) ** sample
-    return math.ceil(math.log(1 - target) / math.log(1 - equal))
-
-
 def sampled_steps(window: int, sample: int, reps: int, fuzzy: bool) -> np.ndarray:
     rng = np.random.default_rng(99)
     # exact windows are equal in every step: early steps suffice and need the shortest walk
@@ -48,64 +43,142 @@ def sampled_steps(window: int, sample: int, reps: int, fuzzy: bool) -> np.ndarra
     return np.stack([np.sort(rng.choice(span, sample, replace=False)) for _ in range(reps)])
 
 
-def window_keys(h: np.ndarray, ends: np.ndarray, window: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of the windows, keys [repetition, window]) of word hashes ``h``; ``ends``: for each word, where its text ends."""
-    at = np.flatnonzero(np.arange(len(h)) + window <= ends)
+def _walk(h: np.ndarray, at: np.ndarray, limit: np.ndarray, steps: int, r: int) -> Iterator[np.ndarray]:
+    """What the walks of repetition ``r`` from ``at`` emit in each step; past ``limit`` a filler."""
+    padded, place = np.append(h, FILLER), at.copy()
+    for k in range(steps):
+        if k % 61 == 0:  # bits of a word last for 61 steps
+            walk = np.append(mix(h ^ mix(np.array([r * 1000 + k], U64) + U64(0xC3A5C85C97CB3127))), U64(0))
+        inside = np.where(place < limit, place, len(h))
+        yield padded[inside]
+        place += ((walk[inside] >> U64(k % 61)) & U64(1)).astype(np.int64)
+
+
+@lru_cache(maxsize=64)
+def collision_chances(window: int, max_edits: int, sample: int, cases: int = 400, walks: int = 150) -> np.ndarray:
+    """Of ``cases`` random windows with ``max_edits`` random edits: the chance that one repetition makes them candidates, over ``walks`` walks."""
+    rng = np.random.default_rng(5)
+    both = []
+    for _ in range(cases):
+        a = list(rng.integers(1, 1 << 63, window, dtype=U64))
+        b = [*a]
+        for _ in range(max_edits):
+            k = rng.integers(len(b))
+            new = rng.integers(1, 1 << 63, dtype=U64)
+            b[k : k + 1] = ([], [new], [b[k], new])[rng.integers(3)]
+        both += [a, [*b, *rng.integers(1, 1 << 63, window, dtype=U64)][:window]]
+    h, at = mix(np.array(both, U64).reshape(-1)), np.arange(2 * cases) * window
+    chance, n = np.zeros(cases), 3 * window
+    for r in range(walks):
+        same = np.zeros(cases)
+        for out in _walk(h, at, at + window, n, r):
+            same += out[::2] == out[1::2]
+        chance += np.prod([np.maximum(same - i, 0) / (n - i) for i in range(sample)], axis=0)
+    return chance / walks
+
+
+def repetitions(window: int, max_edits: int, sample: int, target: float) -> int:
+    """How often to walk and sample, so that windows with ``max_edits`` edits are candidates with the target chance on average."""
+    if not max_edits:
+        return 1
+    chance = collision_chances(window, max_edits, sample)
+    most = next((n for n in (1 << k for k in range(14)) if np.mean(1 - (1 - chance) ** n) >= target), 1 << 13)
+    return next(n for n in range(most // 2, most + 1) if n == most or np.mean(1 - (1 - chance) ** n) >= target)
+
+
+def run_keys(h: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, keys) of the runs of ``n`` words inside of texts."""
+    at = np.flatnonzero(np.arange(len(h)) + n <= ends)
+    keys = np.zeros(len(at), U64)
+    for k in range(n):
+        keys = keys * U64(0x9FB21C651E98DF25) + h[at + k]
+    return at, mix(keys)
+
+
+def windows_near(runs: np.ndarray, ends: np.ndarray, window: int, max_edits: int) -> np.ndarray:
+    """Starts of the windows that may be within ``max_edits`` edits of one with a run that begins at ``runs``; at the end of a text they may lack as many words."""
+    n, first = len(ends), window - window // (max_edits + 1) + max_edits
+    turns = np.bincount(np.maximum(runs - first, 0), minlength=n + 1) - np.bincount(np.minimum(runs + max_edits + 1, n), minlength=n + 1)
+    return np.flatnonzero((np.cumsum(turns[:n]) > 0) & (np.arange(n) + window - max_edits <= ends))
+
+
+def window_keys(h: np.ndarray, ends: np.ndarray, window: int, steps: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the windows, keys [repetition, window]) of word hashes ``h``; ``ends``: for each word, where its text ends; ``at``: the starts if not all."""
+    whole = at is None
+    if whole:
+        at = np.flatnonzero(np.arange(len(h)) + window <= ends)
     keys = np.zeros((len(steps), len(at)), U64)
     if not len(at):
         return at, keys
-    walk = mix(h ^ U64(0xC3A5C85C97CB3127))
-    place, limit = at.copy(), at + window
-    wanted = defaultdict(list)
+    limit, start, held = np.minimum(at + window, ends[at]), at, h
+    if not whole:  # only the words of the windows asked for
+        used = np.cumsum(np.bincount(at, minlength=len(h) + 1) - np.bincount(limit, minlength=len(h) + 1))[: len(h)] > 0
+        start, held = (np.cumsum(used) - 1)[at], h[used]
     for r, s in enumerate(steps):
-        for k in s:
-            wanted[int(k)].append(r)
-    padded = np.append(h, FILLER)
-    for k in range(int(steps.max()) + 1):
-        if k in wanted:
-            out = padded[np.where(place < limit, place, len(h))] if k >= window else h[place]
-            for r in wanted[k]:
+        wanted = set(s.tolist())
+        for k, out in enumerate(_walk(held, start, start + limit - at, int(s.max()) + 1, r)):
+            if k in wanted:
                 keys[r] = keys[r] * U64(0x9FB21C651E98DF25) + out
-        move = (walk[np.minimum(place, len(h) - 1)] >> U64(k % 61)) & U64(1)
-        place += move.astype(np.int64)
     return at, mix(keys ^ np.arange(len(steps), dtype=U64)[:, None])
 
 
-def edits_within(a: list, b: list, most: int) -> int:
-    """Edit distance of two word lists if it is at most ``most``, else most + 1. Computes only the band around the diagonal."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = {j: j for j in range(most + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            new[j] = min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, (row.get(j - 1, most + 1) + (x != b[j - 1])) if j else most + 1)
-        row = new
-    return min(row.get(len(b), most + 1), most + 1)
+def edits_within(a: list, b: list, most: int, prefix: bool = False) -> int:
+    """Edit distance of two word lists if it is at most ``most``, else most + 1; with ``prefix``, of ``a`` and the beginning of ``b`` nearest to it.
+
+    For each number of edits and diagonal (place in b less place in a), the furthest place in a that is reached.
+    """
+    n, m, reach = len(a), len(b), {0: 0}
+    for e in range(most + 1):
+        after: dict[int, int] = {}
+        for k, i in reach.items():
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            if i == n and (prefix or i + k == m):
+                return e
+            for kk, ii in ((k, i + 1), (k - 1, i + 1), (k + 1, i)):
+                if ii <= n and ii + kk <= m and ii > after.get(kk, -1):
+                    after[kk] = ii
+        reach = after
+    return most + 1
+
+
+class _Lookup:
+    """Sorted keys with a table of their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = U64(64 - max(10, min(26, int(len(keys)).bit_length() + 5)))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(keys >> self.shift).astype(np.int64)] = True
+
+    def ranges(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of ``keys`` are held, from, to)."""
+        some = np.flatnonzero(self.seen[(keys >> self.shift).astype(np.int64)])
+        lo, hi = (np.searchsorted(self.keys, keys[some], side) for side in ("left", "right"))
+        held = hi > lo
+        return some[held], lo[held], hi[held]
 
 
 class _Items:
     """The items' windows by key."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, steps: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], window: int, max_edits: int, steps: np.ndarray):
         self.window, self.words = window, [WORD.findall(t.lower()) if t.isascii() else [w.lower() for w in WORD.findall(t)] for _, t in items]
         self.ids = [i for i, _ in items]
-        keys, item, place = [], [], []
+        keys, item, place, runs = [], [], [], []
         for b in blocks(pa.array([t for _, t in items], pa.string())):
             t = tokens(b, words_only=True, lower=True)
-            at, k = window_keys(t.hash, t.first[1:][t.text], window, steps)
+            ends = t.first[1:][t.text]
+            at, k = window_keys(t.hash, ends, window, steps)
+            runs.append(run_keys(t.hash, ends, window // (max_edits + 1))[1])
             for r in range(len(steps)):
                 keys.append(k[r])
                 item.append(t.text[at] + b.first)
                 place.append(at - t.first[t.text[at]])
-        self.keys, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, place))
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.item, self.place = self.keys[order].astype(U64), self.item[order], self.place[order]
-        self.shift = U64(64 - max(10, min(26, int(len(self.keys)).bit_length() + 5)))
-        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.seen[(self.keys >> self.shift).astype(np.int64)] = True
+        keys, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, item, place))
+        order = np.argsort(keys, kind="stable")
+        self.windows, self.item, self.place = _Lookup(keys[order].astype(U64)), self.item[order], self.place[order]
+        self.runs = _Lookup(np.unique(np.concatenate(runs)) if runs else np.zeros(0, U64))
 
 
 def verified(words: list[str], at: int, item: list[str], place: int, window: int, max_edits: int) -> int:
@@ -113,7 +186,7 @@ def verified(words: list[str], at: int, item: list[str], place: int, window: int
     a, b = words[at : at + window], item[place : place + window]
     if a == b:
         return 0
-    return min((edits_within(words[at : at + n], b, max_edits) for n in range(window - max_edits, window + max_edits + 1)), default=1) if max_edits else 1
+    return edits_within(b, words[at : at + window + max_edits], max_edits, prefix=True) if max_edits else 1
 
 
 def longest_run(words: list[str], at: int, item: list[str], place: int) -> int:
@@ -132,23 +205,24 @@ def _search(items: list[tuple[int, str]], window: int, max_edits: int, steps: np
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
-            held.append(_Items(items, window, steps))
+            held.append(_Items(items, window, max_edits, steps))
         have = held[0]
         for batch in it:
             ids, texts = batch.column(0), batch.column(1)
             rows: list[tuple] = []
             for b in blocks(texts):
                 t = tokens(b, words_only=True, lower=True)
-                at, keys = window_keys(t.hash, t.first[1:][t.text], window, steps)
+                at, ends = None, t.first[1:][t.text]
+                if max_edits:
+                    runs, k = run_keys(t.hash, ends, window // (max_edits + 1))
+                    at = windows_near(runs[have.runs.ranges(k)[0]], ends, window, max_edits)
+                at, keys = window_keys(t.hash, ends, window, steps, at)
                 hits: dict[int, set] = defaultdict(set)
                 for r in range(len(steps)):
-                    some = np.flatnonzero(have.seen[(keys[r] >> have.shift).astype(np.int64)])
-                    lo = np.searchsorted(have.keys, keys[r][some], "left")
-                    hi = np.searchsorted(have.keys, keys[r][some], "right")
-                    for k in np.flatnonzero(hi > lo):
-                        w = at[some[k]]
+                    for k, lo, hi in zip(*have.windows.ranges(keys[r]), strict=True):
+                        w = at[k]
                         d = t.text[w]
-                        hits[d].update((int(w - t.first[d]), x) for x in range(lo[k], hi[k]))
+                        hits[d].update((int(w - t.first[d]), x) for x in range(lo, hi))
                 for d, found in hits.items():
                     best: dict[int, list] = {}
                     words = [w.lower() for w in WORD.findall(texts[b.first + int(d)].as_py())]
@@ -174,24 +248,55 @@ _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()
 LEAKS = "doc_id long, item_id long, edits int, run_words int, covered_words int, item_words int"
 
 
-def _keys_of(window: int, steps: np.ndarray):
-    """(id, key, place) of every window of every text."""
+KEYED = "id long, key long, place int"
+
+
+def _keyed(ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.view(np.int64)), pa.array(places.astype(np.int32))], names=["id", "key", "place"])
+
+
+def _runs_of(n: int):
+    """(id, key, place) of every run of ``n`` words of every text."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = np.asarray(batch.column(0))
+            for b in blocks(batch.column(1)):
+                t = tokens(b, words_only=True, lower=True)
+                at, keys = run_keys(t.hash, t.first[1:][t.text], n)
+                yield _keyed(ids[t.text[at] + b.first], keys, at - t.first[t.text[at]])
+
+    return run
+
+
+def _keys_of(window: int, max_edits: int, steps: np.ndarray):
+    """(id, key, place) of every window of every text; of those with a third column, places of runs, of the windows near to them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = np.asarray(batch.column(0))
             for b in blocks(batch.column(1)):
                 t = tokens(b, words_only=True, lower=True)
-                at, keys = window_keys(t.hash, t.first[1:][t.text], window, steps)
+                near, ends = None, t.first[1:][t.text]
+                if batch.num_columns > 2:
+                    places = [t.first[d] + np.asarray(batch.column(2)[b.first + d].values) for d in range(b.n)]
+                    runs = np.concatenate([p[p < t.first[d + 1]] for d, p in enumerate(places)])
+                    near = windows_near(runs, ends, window, max_edits)
+                at, keys = window_keys(t.hash, ends, window, steps, near)
                 d = t.text[at]
                 for r in range(len(steps)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[d + b.first]), pa.array(keys[r].view(np.int64)), pa.array((at - t.first[d]).astype(np.int32))], names=["id", "key", "place"]
-                    )
+                    yield _keyed(ids[d + b.first], keys[r], at - t.first[d])
 
     return run
 
 
+def _with_shared_runs(texts: DataFrame, others: DataFrame, n: int) -> DataFrame:
+    """``texts`` (id, text) that have runs of ``n`` words of ``others``, with the places of these."""
+    theirs = others.mapInArrow(_runs_of(n), KEYED).select("key").distinct()
+    places = texts.mapInArrow(_runs_of(n), KEYED).join(theirs, "key", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
+    return texts.join(places, "id").select("id", "text", "places")
+
+
 def _verify_rows(window: int, max_edits: int):
     import pandas as pd
 
@@ -228,9 +333,12 @@ def find_leaks(
     if size * len(steps) <= broadcast_words:
         held = [(r.item_id, r.text) for r in items.collect()]
         return docs.mapInArrow(_search(held, window, max_edits, steps), LEAKS)
-    keyed = "id long, key long, place int"
-    d = docs.mapInArrow(_keys_of(window, steps), keyed).select(F.col("id").alias("doc_id"), "key", F.col("place").alias("w"))
-    i = items.mapInArrow(_keys_of(window, steps), keyed).select(F.col("id").alias("item_id"), "key", F.col("place").alias("p"))
+    d, i = docs.withColumnRenamed("doc_id", "id"), items.withColumnRenamed("item_id", "id")
+    if max_edits:
+        n = window // (max_edits + 1)
+        d, i = _with_shared_runs(d, i, n), _with_shared_runs(i, d, n)
+    d = d.mapInArrow(_keys_of(window, max_edits, steps), KEYED).select(F.col("id").alias("doc_id"), "key", F.col("place").alias("w"))
+    i = i.mapInArrow(_keys_of(window, max_edits, steps), KEYED).select(F.col("id").alias("item_id"), "key", F.col("place").alias("p"))
     meet = d.join(i, "key").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("w", "p")).alias("places"))
     return (
         meet.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")

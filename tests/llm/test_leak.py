@@ -61,6 +61,29 @@ def test_edited_windows_reach_the_target(spark):
     assert all(r.doc_id == r.item_id for r in got) and len({r.doc_id for r in got}) >= 0.97 * 150
 
 
+@pytest.mark.parametrize("words", [L.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("length", [26, 30])
+def test_short_items_with_two_edits_are_found(spark, words, length):
+    """The parameters of p7_edited, on items of hardly more than a window."""
+    rng = random.Random(8)
+    items = [(i, text(rng, length)) for i in range(400)]
+    docs = []
+    for i, t in items:
+        w = t.split(" ")
+        for _ in range(2):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["new"], [w[k], "new"]])
+        docs.append((i, text(rng, 20) + " " + " ".join(w) + " " + text(rng, 20 * (i % 2))))
+    got = L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), window=26, max_edits=2, sample=10, broadcast_words=words).collect()
+    assert all(r.doc_id == r.item_id and r.edits <= 2 for r in got) and len({r.doc_id for r in got}) == len(got) >= 0.98 * 400
+
+
+def test_repetitions_reach_the_target_by_measured_rates():
+    chance = L.collision_chances(26, 2, 10)
+    n = L.repetitions(26, 2, 10, 0.99)
+    assert (1 - (1 - chance) ** n).mean() >= 0.99 > (1 - (1 - chance) ** (n - 1)).mean() and L.repetitions(26, 0, 10, 0.99) == 1
+
+
 def test_edit_distance_in_a_band():
     rng = random.Random(6)
 
