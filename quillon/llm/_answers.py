@@ -185,6 +185,12 @@ def opening(text: str, words: int = 8) -> str:
     return " ".join(out)
 
 
+def first_sentence(text: str, words: int = 40) -> str:
+    """The opening that is the first sentence, or nothing if that has fewer than five words."""
+    s = opening(re.split(r"(?<=[.!?。])\s+|\n", text.strip()[:2000], maxsplit=1)[0], words)
+    return s if s.count(" ") >= 4 else ""
+
+
 def without_instruction(text: str, template: str) -> list[str]:
     """The non-blank lines of an answer that the template doesn't hold word for word."""
     held = " " + " ".join(words_of(template)) + " "
