@@ -1,11 +1,11 @@
-"""Near-duplicate records by a MinHash LSH forest with exact verification.
+"""Near-duplicate records by banded MinHash with exact verification.
 
 Every text becomes the set of its runs of ``shingle`` consecutive tokens. Texts with the same set form a class and only
-the class's first row goes on. A class gets 128 MinHash values; each of ``trees`` tries holds the classes sorted by a
-selection of ``MAX_DEPTH`` of them. Two classes are candidates if they share a prefix in some trie. The matched prefix is
-as long as the target recall at the threshold allows: it starts there, and is shortened further, down to one value, as
-long as the recall estimated from the verified pairs (each weighted by the inverse of its chance to be found) is below
-the target. A 128-bit sketch drops hopeless candidates inside the join (a true pair is lost with chance under 1e-5);
+the class's first row goes on. A class gets 128 MinHash values; each of ``trees`` bands hashes the first values of a
+selection of ``MAX_DEPTH`` of them. Two classes are candidates if they agree in some band. All bands have one length, the
+longest at which a pair at the threshold is found with the target chance; there are no sorted tries. A shorter prefix is
+tried only if the recall estimated from the verified pairs is below the target, which it cannot be while some length
+reaches the target: verified pairs are alike by the threshold or more. A 128-bit sketch drops hopeless candidates inside the join (a true pair is lost with chance under 1e-5);
 the rest is verified on the whole texts.
 
 Results on special input: null and blank texts and rows without src or id belong to no group and no pair. Texts with fewer than ``shingle`` tokens
