@@ -108,17 +108,17 @@ def choice(response: Column) -> Column:
     return F.coalesce(_tail(final_answer(r), _choice_line), _tail(r, _choice_line), F.lit("A"))
 
 
+BINARY_TASKS = ("binary_vulnerability", "binary_cwe_specific", "binary_vulnerability_specific")
+TASKS: dict[str, Callable[[Column], Column]] = dict.fromkeys(BINARY_TASKS, binary) | {"multiclass_vulnerability": multiclass, "type_multiclass": type_multiclass}
+
+
 def parser_for(task_type: str, task: str | None = None) -> Callable[[Column], Column]:
     """The parser of a task type; tasks 1 to 5 of the five-task source by ``task``."""
     if task:
         return {"task1": yes_no, "task2": choice}.get(task, strip)
-    known = {
-        "binary_vulnerability": binary, "binary_cwe_specific": binary, "binary_vulnerability_specific": binary,
-        "multiclass_vulnerability": multiclass, "type_multiclass": type_multiclass,
-    }
-    if task_type not in known:
+    if task_type not in TASKS:
         raise ValueError(f"no parser for task type {task_type!r}")
-    return known[task_type]
+    return TASKS[task_type]
 
 
 def lacks_marker(responses: Column, marker: str = "[[FINAL_ANSWER: ") -> Column:

@@ -194,6 +194,29 @@ def marginal_gain(curve: DataFrame, keys: list[str], value: str = "f1", cost: st
     return curve.select(*keys, "k", F.round(F.try_divide(gain, dk), digits).alias("gain_per_pass"), F.round(F.try_divide(gain * 1e6, dc), digits).alias("gain_per_million"))
 
 
+def draw_costs(draws: DataFrame, key: str, chars_per_token: float = 4.0) -> DataFrame:
+    """(key, draws, k, generated, cost, total, took) of draws (key, draws, total, took, pass_idx, response): tokens of the first k draws.
+
+    Generated tokens are estimated by length, a null response has none; prompt tokens are an equal share of the rest of the measured total, never below 0.
+    """
+    g = F.coalesce(F.length("response"), F.lit(0)) / F.lit(chars_per_token)
+    whole, k = W.partitionBy(key), F.col("pass_idx") + 1
+    so_far = F.sum(g).over(whole.orderBy("pass_idx").rowsBetween(W.unboundedPreceding, 0))
+    prompt = F.greatest(F.lit(0.0), (F.col("total") - F.sum(g).over(whole)) / F.col("draws"))
+    return draws.select(key, "draws", k.cast("int").alias("k"), so_far.alias("generated"), (k * prompt + so_far).alias("cost"), "total", "took")
+
+
+def cost_per_k(costs: DataFrame, keys: list[str], ks: tuple[int, ...], devices: int = 1) -> DataFrame:
+    """Costs of ``draw_costs`` at each k of ``ks``: speed, mean and median latency, tokens, device hours, ratio to the smallest k. Seconds of 0 give nulls."""
+    speed = costs.where("k = 1").groupBy(*keys).agg(F.try_divide(F.sum("total"), F.sum("took")).alias("speed"))
+    per = costs.where(F.col("k").isin(*ks)).groupBy(*keys, "k").agg(F.avg("cost").alias("mean"), F.percentile("cost", F.lit(0.5)).alias("median"), F.sum("generated").alias("gen"), F.sum("cost").alias("tokens"))
+    first = F.first("tokens").over(W.partitionBy(*keys).orderBy("k"))  # a row per k
+    return per.join(speed, keys).select(
+        *keys, "k", F.round("speed", 3).alias("tokens_per_second"), F.round(F.try_divide("mean", "speed"), 6).alias("latency_mean"), F.round(F.try_divide("median", "speed"), 6).alias("latency_median"),
+        F.round("gen", 2).alias("generated_tokens"), F.round("tokens", 2).alias("total_tokens"), F.round(F.try_divide("tokens", "speed") / 3600 * devices, 8).alias("gpu_hours"), F.round(F.try_divide("tokens", first), 6).alias("times_first"),
+    )
+
+
 def quadratic_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares y = c0 + c1 x + c2 x^2 by sums of powers of the centred x; null where fewer than three different x."""
     mean = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.avg(x).alias("m"))

@@ -6,12 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import parse
+from quillon.session import if_small
+
 
 def draws_of(records: DataFrame, keys: list[str], responses: str = "responses") -> DataFrame:
     """(keys, pass_idx, response): one row per element of an array of responses."""
     return records.select(*keys, F.posexplode(responses).alias("pass_idx", "response"))
 
 
+def labelled_draws(draws: DataFrame, task_type: str = "task_type", response: str = "response") -> DataFrame:
+    """``draws`` with label, parsed by the parser of each row's task type, and vote: 1 or 0 of binary tasks, else null.
+
+    Every draw counts: a null or unreadable response has the parser's default label. Unknown task types have neither.
+    """
+    text, task = F.coalesce(response, F.lit("")), F.col(task_type)
+    binary = parse.binary(text)
+    label = F.when(task.isin(*parse.BINARY_TASKS), binary.cast("string"))
+    for t in parse.TASKS:
+        if t not in parse.BINARY_TASKS:
+            label = label.when(task == t, parse.parser_for(t)(text))
+    return draws.withColumn("label", label).withColumn("vote", F.when(task.isin(*parse.BINARY_TASKS), F.col("label").cast("int")))
+
+
+def complete_of_run(records: DataFrame, run: str, n: str) -> DataFrame:
+    """The records with as many draws as the run's fullest ones; ``n`` is the column of their number. Records without a draw are left out."""
+    most = records.groupBy(run).agg(F.max(n).alias("_most"))
+    return records.join(if_small(most), run).where((F.col(n) == F.col("_most")) & (F.col(n) > 0)).drop("_most")
+
+
 def vote_counts(votes: DataFrame, keys: list[str], label: str = "label", weight: str | None = None) -> DataFrame:
     """(keys, label, votes, first_idx) - votes of each label and where it first occurs."""
     n = F.count("*") if weight is None else F.sum(weight)

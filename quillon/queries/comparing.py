@@ -10,11 +10,11 @@ from quillon.functions import normalise as N
 from quillon.operators import compare as C
 from quillon.operators import reports as R
 from quillon.operators import votes as V
-from quillon.session import table
+from quillon.session import materialise, table
 
 from ._registry import PRED, cells, div, metric_sql, predictions, query
 from .parsing import year_band
-from .scoring import _DRAW, _draws
+from .scoring import _DRAW, _FULL, _complete, _draws
 
 _NAMES = ("accuracy", "f1", "fnr")
 
@@ -81,16 +81,16 @@ def sta_thinking_gain(spark, d):
     return a.groupBy("model_type").agg(F.round(yes, 6).alias("thinking"), F.round(no, 6).alias("plain"), F.round(yes - no, 6).alias("gain"))
 
 
-_VOTED = f"""WITH {_DRAW}, c AS (SELECT row_id, label, count(*) AS votes, min(pass_idx) AS f FROM draw WHERE label IS NOT NULL GROUP BY ALL),
+_VOTED = f"""WITH {_DRAW}, c AS (SELECT row_id, vote AS label, count(*) AS votes, min(pass_idx) AS f FROM draw WHERE vote IS NOT NULL GROUP BY ALL),
     w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, f) AS rk, sum(votes) OVER (PARTITION BY row_id)::bigint AS total FROM c),
-    v AS (SELECT r.row_id, u.backend, w.votes, w.total, w.label::int AS p, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS t
+    v AS (SELECT r.row_id, u.backend, w.votes, w.total, w.label AS p, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS t
         FROM w JOIN prediction_records r USING (row_id) JOIN runs u USING (run_id) WHERE rk = 1), vt AS (SELECT * FROM v WHERE t IS NOT NULL)"""
 
 
 def _voted(spark, d):
-    m = V.majority(V.vote_counts(_draws(spark, d), ["row_id"]), ["row_id"])
+    m = V.majority(V.vote_counts(_draws(spark, d), ["row_id"], label="vote"), ["row_id"])
     r = table(spark, d, "prediction_records").select("row_id", "run_id", M.binary_label(F.col("true_label")).alias("true")).where(F.col("true").isNotNull()).join(table(spark, d, "runs").select("run_id", "backend"), "run_id")
-    return m.join(r, "row_id").select("row_id", "backend", "votes", "total", "true", F.col("label").cast("int").alias("pred"))
+    return m.join(r, "row_id").select("row_id", "backend", "votes", "total", "true", F.col("label").alias("pred"))
 
 
 @query(f"{_VOTED}, x AS (SELECT *, votes::double / total >= threshold - 1e-9 AS k FROM vt, (VALUES (0.0::double), (0.6::double), (0.8::double), (1.0::double)) h(threshold)) SELECT backend, threshold, count(*) AS n, count(*) FILTER (k) AS kept, {cells('k')}, round(count(*) FILTER (k)::double / count(*), 6) AS coverage FROM x GROUP BY backend, threshold")
@@ -251,59 +251,118 @@ def sta_outcome_category(spark, d):
     return g.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(0))), 4))  # four rows
 
 
-_CURVE = f"""WITH {_DRAW}, v AS (SELECT row_id, pass_idx, label::int AS vote FROM draw WHERE label IS NOT NULL), k AS (SELECT row_id, row_number() OVER w AS k, sum(vote) OVER w AS ones FROM v WINDOW w AS (PARTITION BY row_id ORDER BY pass_idx)),
-    l AS (SELECT row_id, tokens, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS t FROM (SELECT row_id, true_label, inference_data.tokens_used AS tokens FROM prediction_records)),
-    x AS (SELECT k, t, (ones::double / k > 0.5)::int AS p, tokens FROM k JOIN l USING (row_id) WHERE t IS NOT NULL),
-    c AS (SELECT k, coalesce(sum(tokens), 0)::bigint * k AS tokens, {cells('true')} FROM x GROUP BY k), q AS (SELECT k, tokens, {metric_sql(('f1', 'fnr', 'accuracy'))} FROM c)"""
+# the numbers of draws and the rules that are compared
+K_LIST = (1, 3, 5, 7, 11, 15)
+RULES = (("majority", 0.5), ("threshold", 0.25), ("threshold", 0.33), ("threshold", 0.5), ("or", 0.5))
 
+_CURVE = f"""WITH {_DRAW}, {_FULL}, v AS (SELECT row_id, draws, vote, row_number() OVER w AS k, sum(vote) OVER w AS ones FROM draw JOIN complete USING (row_id) WHERE vote IS NOT NULL WINDOW w AS (PARTITION BY row_id ORDER BY pass_idx)),
+    l AS (SELECT row_id, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS t FROM prediction_records),
+    r(rule, th) AS (VALUES {', '.join(f"('{r}', {t}::double)" for r, t in RULES)}),
+    x AS (SELECT row_id, draws, rule, th, k, t, CASE rule WHEN 'majority' THEN (ones::double / k > 0.5)::int WHEN 'threshold' THEN (ones::double / k >= th)::int ELSE (ones >= 1)::int END AS p FROM v JOIN l USING (row_id), r WHERE t IS NOT NULL AND k IN {K_LIST}),
+    c AS (SELECT draws, rule, th, k, {cells('true')} FROM x GROUP BY ALL), q AS (SELECT draws, rule, th, k, {metric_sql(_NAMES)} FROM c),
+    b AS (SELECT draws, rule, th, max(f1) AS best_f1, arg_min(k, (fnr, k)) AS kf FROM q GROUP BY ALL),
+    d AS (SELECT x.draws, x.rule, x.th, x.k, count(*) FILTER (x.p = 0 AND y.p = 1) AS lost, count(*) FILTER (x.p = 1 AND y.p = 0) AS won, count(*)::double AS n
+        FROM x JOIN b ON b.draws = x.draws AND b.rule = x.rule AND b.th = x.th JOIN x y ON y.row_id = x.row_id AND y.rule = x.rule AND y.th = x.th AND y.k = b.kf WHERE x.t = 1 GROUP BY ALL),
+    s AS (SELECT *, abs(lost - won) / n <= 1.959964 * sqrt(greatest(0, lost + won - (lost - won) * (lost - won) / n)) / n + 1e-12 AS same FROM d),
+    o AS (SELECT q.draws, q.rule, q.th, min(q.k) FILTER (q.f1 >= b.best_f1 - 0.01 AND (q.k = b.kf OR coalesce(s.same, true))) AS optimal_k, max(b.best_f1) AS best_f1
+        FROM q JOIN b ON b.draws = q.draws AND b.rule = q.rule AND b.th = q.th LEFT JOIN s ON s.draws = q.draws AND s.rule = q.rule AND s.th = q.th AND s.k = q.k GROUP BY ALL)"""
 
-def _curve(spark, d):
-    v = _draws(spark, d).where("label is not null").select("row_id", "pass_idx", F.col("label").cast("int").alias("vote"))
-    k = V.running_votes(v, ["row_id"])
-    r = table(spark, d, "prediction_records").select("row_id", M.binary_label(F.col("true_label")).alias("t"), F.col("inference_data.tokens_used").alias("tok")).where("t is not null")
-    x = k.join(r, "row_id").withColumn("p", V.by_rule(F.lit("majority"), F.col("ones"), F.col("k"), F.lit(0.0)))
-    c = x.groupBy("k").agg(F.coalesce(F.sum("tok"), F.lit(0)).alias("_t"), *M.confusion_counts(F.col("t"), F.col("p"))).withColumn("tokens", F.col("_t") * F.col("k")).drop("_t")
-    return M.with_metrics(c, ["f1", "fnr", "accuracy"], digits=6).withColumn("all", F.lit(1))
 
+def _ruled(spark, d):
+    """(row_id, draws, t, rule, th, k, p): every rule's verdict on the first k draws of the complete samples, k of ``K_LIST``."""
+    v = _draws(spark, d).where("vote is not null").select("row_id", "pass_idx", "vote")
+    r = _complete(spark, d).select("row_id", "draws", M.binary_label(F.col("true_label")).alias("t")).where("t is not null")
+    k = V.running_votes(v, ["row_id"]).where(F.col("k").isin(*K_LIST)).join(r, "row_id")
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("th")) for r, t in RULES)))
+    x = k.select("row_id", "draws", "t", "k", "ones", rules.alias("r")).select("row_id", "draws", "t", "k", "ones", "r.*")
+    return x.withColumn("p", V.by_rule(F.col("rule"), F.col("ones"), F.col("k"), F.col("th"))).drop("ones")
 
-@query(f"{_CURVE} SELECT k::int AS k, tokens::bigint AS tokens, f1, fnr, accuracy FROM q")
+
+_CONFIG = ["draws", "rule", "th"]
+
+
+def _of_rules(x):
+    return M.with_metrics(x.groupBy(*_CONFIG, "k").agg(*M.confusion_counts(F.col("t"), F.col("p"))), list(_NAMES), digits=6)
+
+
+@query(f"{_CURVE} SELECT draws::int AS draws, rule, th, k::int AS k, f1, fnr, accuracy FROM q")
 def sta_k_curve(spark, d):
-    return _curve(spark, d).select("k", "tokens", "f1", "fnr", "accuracy")
+    return _of_rules(_ruled(spark, d)).select(*_CONFIG, "k", "f1", "fnr", "accuracy")
 
 
-@query(f"{_CURVE}, b AS (SELECT max(f1) AS best_f1, (SELECT k FROM q ORDER BY fnr, k LIMIT 1) AS kf, min(fnr) AS bf FROM q) SELECT min(k) FILTER (f1 >= best_f1 - 0.01 AND (abs(fnr - bf) <= 0.05 OR k = kf))::int AS optimal_k, max(best_f1) AS best_f1 FROM q, b")
-def sta_optimal_k(spark, d):
-    """The interval test is replaced by a distance of 0.05 here, so that SQL can follow; optimal_k takes the flag of either."""
-    c = _curve(spark, d)
-    low = F.min("fnr").over(W.partitionBy("all"))
-    return C.optimal_k(c.withColumn("fnr_same", F.abs(F.col("fnr") - low) <= 0.05), ["all"]).drop("all")
+def _optimal(spark, d):
+    x = materialise(_ruled(spark, d), "ruled")
+    curve = _of_rules(x)
+    lowest = curve.groupBy(*_CONFIG).agg(F.min_by("k", F.struct("fnr", "k")).alias("kf"))
+    base = x.join(lowest, _CONFIG).where("k = kf").select("row_id", "rule", "th", F.col("p").alias("base"))
+    pairs = x.join(base, ["row_id", "rule", "th"]).select(*_CONFIG, "k", F.col("t").alias("true"), F.col("p").alias("pred"), "base")
+    same = C.paired_bootstrap(pairs, [*_CONFIG, "k"], ["fnr"]).select(*_CONFIG, "k", F.col("includes_zero").alias("fnr_same"))
+    return curve, C.optimal_k(curve.join(same, [*_CONFIG, "k"]), _CONFIG)
 
 
-@query(f"{_CURVE}, b AS (SELECT *, max(accuracy) OVER () AS best FROM q) SELECT k::int AS k, accuracy, fnr FROM (SELECT *, row_number() OVER (ORDER BY accuracy DESC, fnr, k) AS r FROM b WHERE accuracy >= best - 0.01) WHERE r = 1")
-def sta_final_selection(spark, d):
-    """Within 0.01 of the best accuracy: highest accuracy, then lowest FNR."""
-    c = _curve(spark, d).withColumn("best", F.max("accuracy").over(W.partitionBy("all"))).where("accuracy >= best - 0.01")
-    return C.best_by(c, ["all"], [F.desc("accuracy"), F.asc("fnr"), F.asc("k")]).select("k", "accuracy", "fnr")
+@query(f"{_CURVE} SELECT draws::int AS draws, rule, th, optimal_k::int AS optimal_k, best_f1 FROM o")
+def sta_optimal_k(spark, d):
+    """Of each rule: the smallest k with F1 within 0.01 of the best whose FNR has a paired-bootstrap interval of its difference to the lowest that includes 0.
+
+    The SQL has the normal interval of that difference in place of the bootstrap's.
+    """
+    return _optimal(spark, d)[1]
 
 
 @query(
-    """WITH g AS (SELECT row_id, pass_idx, sum(length(response) // 4) OVER (PARTITION BY row_id ORDER BY pass_idx) AS gen, sum(length(response) // 4) OVER (PARTITION BY row_id) AS all_gen, count(*) OVER (PARTITION BY row_id) AS n, total
-        FROM (SELECT row_id, unnest(range(len(inference_data.responses)))::int AS pass_idx, coalesce(unnest(inference_data.responses), '') AS response, coalesce(inference_data.tokens_used, 0) AS total FROM prediction_records))
-    SELECT row_id, (pass_idx + 1)::int AS k, round((pass_idx + 1) * greatest(0, (total - all_gen)::double / n) + gen, 4) AS cost FROM g"""
+    f"""{_CURVE}, f AS (SELECT q.*, max(accuracy) OVER (PARTITION BY q.draws) AS best FROM q JOIN o ON o.draws = q.draws AND o.rule = q.rule AND o.th = q.th AND o.optimal_k = q.k)
+    SELECT draws::int AS draws, rule, th, k::int AS k, accuracy, f1, fnr FROM (SELECT *, row_number() OVER (PARTITION BY draws ORDER BY accuracy DESC, fnr, rule, th, k) AS r FROM f WHERE accuracy >= best - 0.01) WHERE r = 1"""
 )
+def sta_final_selection(spark, d):
+    """Of the rules at their optimal k, within 0.01 of the best accuracy: highest accuracy, then lowest FNR."""
+    curve, optimal = _optimal(spark, d)
+    c = curve.join(optimal.select(*_CONFIG, F.col("optimal_k").alias("k")), [*_CONFIG, "k"])
+    c = c.withColumn("best", F.max("accuracy").over(W.partitionBy("draws"))).where("accuracy >= best - 0.01")  # a row per rule
+    return C.best_by(c, ["draws"], [F.desc("accuracy"), F.asc("fnr"), F.asc("rule"), F.asc("th"), F.asc("k")]).select("draws", "rule", "th", "k", "accuracy", "f1", "fnr")
+
+
+_COST = f"""WITH {_FULL}, g AS (SELECT row_id, draws, pass_idx, total, took, sum(gen) OVER (PARTITION BY row_id ORDER BY pass_idx) AS gen, sum(gen) OVER (PARTITION BY row_id) AS all_gen FROM (
+        SELECT row_id, draws, unnest(range(len(i.responses)))::int AS pass_idx, coalesce(length(unnest(i.responses)), 0) / 4.0::double AS gen, coalesce(i.tokens_used, 0)::double AS total, coalesce(i.processing_time, 0) * draws AS took
+        FROM (SELECT row_id, draws, inference_data AS i FROM prediction_records JOIN complete USING (row_id)))),
+    k AS (SELECT row_id, draws, pass_idx + 1 AS k, gen, (pass_idx + 1) * greatest(0, (total - all_gen) / draws) + gen AS cost, total, took FROM g)"""
+
+
+def _costs(spark, d):
+    """(row_id, draws, k, generated, cost, total, took): tokens of the first k draws of each complete sample, and of all of it with their time."""
+    r = _complete(spark, d).select("row_id", "draws", F.coalesce("inference_data.tokens_used", F.lit(0)).cast("double").alias("total"), (F.coalesce("inference_data.processing_time", F.lit(0.0)) * F.col("draws")).alias("took"), F.posexplode("inference_data.responses").alias("pass_idx", "response"))
+    return C.draw_costs(r, "row_id")
+
+
+@query(f"{_COST} SELECT row_id, k::int AS k, round(cost, 4) AS cost FROM k")
 def sta_cost_model(spark, d):
     """Tokens of the first k draws: generated ones by length, prompt tokens as the equal share of the rest."""
-    r = table(spark, d, "prediction_records").select("row_id", F.coalesce("inference_data.tokens_used", F.lit(0)).alias("total"), F.posexplode("inference_data.responses").alias("pass_idx", "response"))
-    g = F.floor(F.length(F.coalesce("response", F.lit(""))) / 4)
-    whole = W.partitionBy("row_id")
-    k = F.col("pass_idx") + 1
-    prompt = F.greatest(F.lit(0.0), (F.col("total") - F.sum(g).over(whole)) / F.count("*").over(whole))
-    return r.select("row_id", k.cast("int").alias("k"), F.round(k * prompt + F.sum(g).over(whole.orderBy("pass_idx").rowsBetween(W.unboundedPreceding, 0)), 4).alias("cost"))
+    return _costs(spark, d).select("row_id", "k", F.round("cost", 4).alias("cost"))
 
 
-@query(f"{_CURVE} SELECT k::int AS k, round((f1 - lag(f1) OVER w) / (k - lag(k) OVER w), 6) AS gain_per_pass, round(CASE WHEN tokens = lag(tokens) OVER w THEN NULL ELSE (f1 - lag(f1) OVER w) * 1e6 / (tokens - lag(tokens) OVER w) END, 6) AS gain_per_million FROM q WINDOW w AS (ORDER BY k)")
+@query(
+    f"""{_COST}, s AS (SELECT draws, sum(total) / sum(took) AS speed FROM k WHERE k = 1 GROUP BY draws),
+    p AS (SELECT draws, k, avg(cost) AS mean_cost, quantile_cont(cost, 0.5) AS median_cost, sum(gen) AS generated, sum(cost) AS tokens FROM k WHERE k IN {K_LIST} GROUP BY draws, k)
+    SELECT draws::int AS draws, k::int AS k, round(speed, 3) AS tokens_per_second, round(mean_cost / speed, 6) AS latency_mean, round(median_cost / speed, 6) AS latency_median, round(generated, 2) AS generated_tokens, round(tokens, 2) AS total_tokens,
+        round(tokens / speed / 3600, 8) AS gpu_hours, round(tokens / first_value(tokens) OVER (PARTITION BY draws ORDER BY k), 6) AS times_first FROM p JOIN s USING (draws)"""
+)
+def sta_cost_per_k(spark, d):
+    """Latency, tokens, device hours and the ratio to one draw at each k, at the measured tokens per second."""
+    return C.cost_per_k(_costs(spark, d), ["draws"], K_LIST)
+
+
+@query(
+    f"""{_CURVE}, {_COST[5:].replace(_FULL + ', ', '')}, p AS (SELECT draws, k, sum(cost) AS tokens FROM k GROUP BY draws, k),
+    j AS (SELECT q.*, p.tokens FROM q JOIN p ON p.draws = q.draws AND p.k = q.k WHERE rule IN ('majority', 'or'))
+    SELECT draws::int AS draws, rule, k::int AS k, round((f1 - lag(f1) OVER w) / (k - lag(k) OVER w), 6) AS f1_per_pass, round((fnr - lag(fnr) OVER w) / (k - lag(k) OVER w), 6) AS fnr_per_pass,
+        round(CASE WHEN tokens = lag(tokens) OVER w THEN NULL ELSE (fnr - lag(fnr) OVER w) * 1e6 / (tokens - lag(tokens) OVER w) END, 4) AS fnr_per_million FROM j WINDOW w AS (PARTITION BY draws, rule ORDER BY k)"""
+)
 def sta_marginal_gain(spark, d):
-    return C.marginal_gain(_curve(spark, d), ["all"]).drop("all")
+    """Gain of each further step of k for the two extreme rules: by pass, and by a million tokens of the cost model."""
+    tokens = _costs(spark, d).groupBy("draws", "k").agg(F.sum("cost").alias("tokens"))
+    c = _of_rules(_ruled(spark, d)).where("rule in ('majority', 'or')").join(tokens, ["draws", "k"])
+    f1 = C.marginal_gain(c, ["draws", "rule"], "f1").select("draws", "rule", "k", F.col("gain_per_pass").alias("f1_per_pass"))
+    fnr = C.marginal_gain(c, ["draws", "rule"], "fnr").select("draws", "rule", "k", F.col("gain_per_pass").alias("fnr_per_pass"), F.round("gain_per_million", 4).alias("fnr_per_million"))
+    return f1.join(fnr, ["draws", "rule", "k"])
 
 
 @query(f"WITH {_m('model_name')}, s AS (SELECT model_name, round(avg(processing_time), 6) AS mean_time FROM prediction_results JOIN runs USING (run_id) GROUP BY 1) SELECT model_name, accuracy, f1, mean_time, model_name = (SELECT arg_max(model_name, (accuracy, model_name)) FROM m) AS is_most_accurate, model_name = (SELECT arg_min(model_name, (mean_time, model_name)) FROM s) AS is_fastest FROM m JOIN s USING (model_name)")

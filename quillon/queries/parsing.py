@@ -65,11 +65,13 @@ def _answers(spark, d):
     return table(spark, d, "prediction_results").where("response_text is not null").select("row_id", F.col("response_text").alias("r"))
 
 
-@query(
-    f"""SELECT row_id, coalesce(CASE lower({_last('r', '"is_vulnerable"' + chr(92) + 's*:' + chr(92) + 's*(true|false)', 'i')}) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END, {_word(_last('r', _FA, 'is'))},
-        {_tail('r', lambda z: f"coalesce({_word(_payload(z))}, {_word(z)})")}, CASE upper({_last('r', chr(92) + 'b(VULNERABLE|SAFE)' + chr(92) + 'b', 'i')}) WHEN 'VULNERABLE' THEN 1 WHEN 'SAFE' THEN 0 END,
-        {_word(_last('r', chr(92) + 'b(YES|NO|TRUE|FALSE|FOUND|DETECTED|NONE|CLEAN)' + chr(92) + 'b', 'i'))}, 0) AS label FROM ({_R})"""
-)
+# a stripped answer ``r`` to its label
+BINARY_SQL = f"""coalesce(CASE lower({_last('r', '"is_vulnerable"' + chr(92) + 's*:' + chr(92) + 's*(true|false)', 'i')}) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END, {_word(_last('r', _FA, 'is'))},
+    {_tail('r', lambda z: f"coalesce({_word(_payload(z))}, {_word(z)})")}, CASE upper({_last('r', chr(92) + 'b(VULNERABLE|SAFE)' + chr(92) + 'b', 'i')}) WHEN 'VULNERABLE' THEN 1 WHEN 'SAFE' THEN 0 END,
+    {_word(_last('r', chr(92) + 'b(YES|NO|TRUE|FALSE|FOUND|DETECTED|NONE|CLEAN)' + chr(92) + 'b', 'i'))}, 0)"""
+
+
+@query(f"SELECT row_id, {BINARY_SQL} AS label FROM ({_R})")
 def prs_binary(spark, d):
     return _answers(spark, d).select("row_id", P.binary(F.col("r")).alias("label"))
 
@@ -77,9 +79,10 @@ def prs_binary(spark, d):
 _CL = lambda z: f"coalesce({_cwe(_cand(z))}, CASE WHEN {_bare(_cand(z))} = 'SAFE' THEN 'SAFE' END)"
 
 
-@query(
-    f"""SELECT row_id, coalesce({_tail(_last('r', _FA, 'is'), _CL)}, {_tail('r', _CL)}, upper({_last('r', chr(92) + 'bCWE-' + chr(92) + 'd+' + chr(92) + 'b|' + chr(92) + 'bSAFE' + chr(92) + 'b', 'i', 0)}), 'UNKNOWN') AS label FROM ({_R})"""
-)
+MULTICLASS_SQL = f"""coalesce({_tail(_last('r', _FA, 'is'), _CL)}, {_tail('r', _CL)}, upper({_last('r', chr(92) + 'bCWE-' + chr(92) + 'd+' + chr(92) + 'b|' + chr(92) + 'bSAFE' + chr(92) + 'b', 'i', 0)}), 'UNKNOWN')"""
+
+
+@query(f"SELECT row_id, {MULTICLASS_SQL} AS label FROM ({_R})")
 def prs_multiclass(spark, d):
     return _answers(spark, d).select("row_id", P.multiclass(F.col("r")).alias("label"))
 

@@ -11,6 +11,7 @@ from quillon.plans.experiments import binary_metrics, success_summary
 from quillon.session import table
 
 from ._registry import PRED, cells, metric_sql, predictions, query
+from .parsing import BINARY_SQL, MULTICLASS_SQL
 
 ALL = ("accuracy", "precision", "recall", "f1", "specificity", "fnr", "fpr", "balanced_accuracy", "youden_j", "mcc")
 
@@ -179,17 +180,25 @@ def met_auc(spark, d):
 
 # ---- votes ----
 
-# a draw's vote: its final-answer marker
-_DRAW = """draw AS (SELECT run_id, sample_id, row_id, pass_idx, CASE WHEN m IN ('VULNERABLE', 'YES') OR starts_with(m, 'CWE-') THEN '1' WHEN m IN ('SAFE', 'NO') THEN '0' END AS label FROM (
-    SELECT run_id, sample_id, row_id, pass_idx, upper(regexp_extract_all(response, '\\[\\[FINAL_ANSWER:\\s*([^\\]\\s]+)\\s*\\]\\]', 1)[-1]) AS m FROM (
-        SELECT run_id, sample_id, row_id, unnest(range(len(inference_data.responses)))::int AS pass_idx, unnest(inference_data.responses) AS response FROM prediction_records)))"""
+# a draw's label: by the parser of its run's task, as every other answer; ``vote`` is that of binary tasks
+_DRAW = f"""draw AS (SELECT run_id, sample_id, row_id, pass_idx, label, CASE WHEN starts_with(task_type, 'binary') THEN try_cast(label AS int) END AS vote FROM (
+    SELECT run_id, sample_id, row_id, pass_idx, task_type, CASE WHEN starts_with(task_type, 'binary') THEN ({BINARY_SQL})::varchar WHEN task_type = 'multiclass_vulnerability' THEN {MULTICLASS_SQL} END AS label FROM (
+        SELECT run_id, sample_id, row_id, pass_idx, task_type, regexp_replace(coalesce(response, ''), '^\\s+|\\s+$', '', 'g') AS r FROM (
+            SELECT run_id, sample_id, row_id, unnest(range(len(inference_data.responses)))::int AS pass_idx, unnest(inference_data.responses) AS response FROM prediction_records) JOIN runs USING (run_id))))"""
+# records with as many draws as the fullest of their run
+_FULL = """complete AS (SELECT row_id, n AS draws FROM (SELECT row_id, len(inference_data.responses) AS n, max(len(inference_data.responses)) OVER (PARTITION BY run_id) AS m FROM prediction_records) WHERE n = m AND n > 0)"""
 
 
 def _draws(spark, d):
+    runs = table(spark, d, "runs").select("run_id", "task_type")
     r = table(spark, d, "prediction_records").select("run_id", "sample_id", "row_id", F.col("inference_data.responses").alias("responses"))
-    m = F.upper(F.try_element_at(F.regexp_extract_all("response", F.lit(r"\[\[FINAL_ANSWER:\s*([^\]\s]+)\s*\]\]"), F.lit(1)), F.lit(-1)))
-    x = V.draws_of(r, ["run_id", "sample_id", "row_id"])
-    return x.withColumn("label", F.when(m.isin("VULNERABLE", "YES") | m.startswith("CWE-"), "1").when(m.isin("SAFE", "NO"), "0")).drop("response")
+    x = V.draws_of(r, ["run_id", "sample_id", "row_id"]).join(runs, "run_id")
+    return V.labelled_draws(x).drop("response", "task_type")
+
+
+def _complete(spark, d):
+    r = table(spark, d, "prediction_records").select("row_id", "run_id", "true_label", "inference_data", F.coalesce(F.size("inference_data.responses"), F.lit(0)).alias("draws"))
+    return V.complete_of_run(r, "run_id", "draws")
 
 
 _MAJ = f"""WITH {_DRAW}, c AS (SELECT row_id, label, count(*) AS votes, min(pass_idx) AS f FROM draw WHERE label IS NOT NULL GROUP BY ALL),
@@ -232,12 +241,13 @@ def vot_merge_runs(spark, d):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-_RUN = f"""WITH {_DRAW}, v AS (SELECT row_id, pass_idx, label::int AS vote FROM draw WHERE label IS NOT NULL),
+_RUN = f"""WITH {_DRAW}, {_FULL}, v AS (SELECT row_id, pass_idx, vote FROM draw JOIN complete USING (row_id) WHERE vote IS NOT NULL),
     k AS (SELECT row_id, row_number() OVER w AS k, sum(vote) OVER w AS ones FROM v WINDOW w AS (PARTITION BY row_id ORDER BY pass_idx))"""
 
 
 def _running(spark, d):
-    v = _draws(spark, d).where("label is not null").select("row_id", "pass_idx", F.col("label").cast("int").alias("vote"))
+    """Running votes of the complete samples of binary tasks; k is a draw's position, as every draw has a vote."""
+    v = _draws(spark, d).where("vote is not null").join(_complete(spark, d).select("row_id"), "row_id", "left_semi").select("row_id", "pass_idx", "vote")
     return V.running_votes(v, ["row_id"])
 
 
@@ -257,10 +267,9 @@ def vot_rules(spark, d):
     return x.select("row_id", "k", "rule", "t", V.by_rule(F.col("rule"), F.col("ones"), F.col("k"), F.col("t")).alias("verdict"))
 
 
-@query("SELECT row_id, len(inference_data.responses)::bigint AS draws FROM prediction_records WHERE len(inference_data.responses) = 3")
+@query(f"WITH {_FULL} SELECT row_id, draws::int AS draws FROM complete")
 def vot_complete_only(spark, d):
-    x = V.complete_only(_draws(spark, d), ["row_id"], 3)
-    return x.groupBy("row_id").agg(F.count("*").alias("draws"))
+    return _complete(spark, d).select("row_id", "draws")
 
 
 @query(
@@ -277,8 +286,8 @@ def vot_logprob_decision(spark, d):
 
 @query("SELECT run_id, count(*) AS n FROM prediction_results GROUP BY run_id")
 def vot_circuit_breaker(spark, d):
-    """Rows per run, behind the assertion that at most half of all rows failed."""
-    return V.assert_error_rate(table(spark, d, "prediction_results"), 0.5).groupBy("run_id").agg(F.count("*").alias("n"))
+    """Rows per run, behind the assertion that at most a fifth of all rows failed."""
+    return V.assert_error_rate(table(spark, d, "prediction_results")).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -288,13 +297,18 @@ def agg_mean_over_draws(spark, d):
     return table(spark, d, "prediction_results").groupBy("run_id", "sample_id").agg(F.sum("tokens_used").alias("tokens"), F.round(F.avg("processing_time"), 6).alias("mean_time"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+_SPREAD = ("accuracy", "f1", "fnr")
+
+
 @query(
-    f"""{_RUN}, s AS (SELECT k, r.tt AS t, (ones::double / k > 0.5)::int AS p FROM k JOIN (SELECT row_id, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS tt FROM prediction_records) r USING (row_id) WHERE r.tt IS NOT NULL),
-    a AS (SELECT k, avg((t = p)::int) AS acc FROM s GROUP BY k) SELECT count(*) AS passes, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std FROM a"""
+    f"""WITH {_DRAW}, {_FULL}, x AS (SELECT draws, pass_idx, vote AS p, CASE WHEN true_label IN ('0', 'SAFE') THEN 0 WHEN true_label = '1' OR starts_with(true_label, 'CWE-') THEN 1 END AS t
+        FROM draw JOIN complete USING (row_id) JOIN (SELECT row_id, true_label FROM prediction_records) USING (row_id) WHERE vote IS NOT NULL),
+    c AS (SELECT draws, pass_idx, {cells('t IS NOT NULL')} FROM x WHERE t IS NOT NULL GROUP BY ALL), m AS (SELECT draws, {metric_sql(_SPREAD, digits=12)} FROM c)
+    SELECT draws::int AS draws, count(*) AS passes, {', '.join(f'round(avg({m}), 6) AS mean_{m}, round(stddev_pop({m}), 6) AS std_{m}' for m in _SPREAD)} FROM m GROUP BY draws"""
 )
 def agg_pass_spread(spark, d):
-    """Accuracy per number of draws: mean and spread with the population's divisor."""
-    t = table(spark, d, "prediction_records").select("row_id", M.binary_label(F.col("true_label")).alias("t")).where("t is not null")
-    x = _running(spark, d).join(t, "row_id").withColumn("p", V.by_rule(F.lit("majority"), F.col("ones"), F.col("k"), F.lit(0.0)))
-    a = x.groupBy("k").agg(F.avg((F.col("t") == F.col("p")).cast("double")).alias("acc"))
-    return a.agg(F.count("*").alias("passes"), F.round(F.avg("acc"), 6).alias("mean"), F.round(F.stddev_pop("acc"), 6).alias("std"))
+    """Each draw position as a run of its own: mean and spread (population's divisor) of its metrics, for each number of draws per sample."""
+    r = _complete(spark, d).select("row_id", "draws", M.binary_label(F.col("true_label")).alias("t")).where("t is not null")
+    x = _draws(spark, d).where("vote is not null").join(r, "row_id")
+    m = M.with_metrics(x.groupBy("draws", "pass_idx").agg(*M.confusion_counts(F.col("t"), F.col("vote"))), list(_SPREAD), digits=12)
+    return m.groupBy("draws").agg(F.count("*").alias("passes"), *(f(n) for n in _SPREAD for f in (lambda n: F.round(F.avg(n), 6).alias(f"mean_{n}"), lambda n: F.round(F.stddev_pop(n), 6).alias(f"std_{n}"))))
