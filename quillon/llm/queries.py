@@ -39,8 +39,9 @@ def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    p = _pieces(spark, d, False).where("piece = 0")
-    return p.select("row_id", F.when(F.col("longest_line") > 6000, "inside").otherwise("line").alias("cut_kind"))
+    """By the pieces themselves: 'inside' if one of a text's cuts is inside a line."""
+    p = _pieces(spark, d, False).groupBy("row_id").agg(F.bool_or(F.col("cut") == "inside").alias("inside"))
+    return p.select("row_id", F.when(F.col("inside"), "inside").otherwise("line").alias("cut_kind"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

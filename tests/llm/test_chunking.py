@@ -36,6 +36,25 @@ def test_lines_are_kept_where_they_fit():
             assert all(k != C.INSIDE for _, _, k in parts[:-1])
 
 
+def test_a_line_is_cut_only_if_it_is_longer_than_a_piece():
+    """Lines of nearly a piece's size, behind others of any size, stay whole in some piece; pieces share 200 characters wherever they are cut."""
+    rng = random.Random(7)
+    for _ in range(3000):
+        t = "".join("k" * rng.choice([rng.randint(0, 80), rng.randint(5500, 5820), rng.randint(5780, 6000), rng.randint(5990, 6010)]) + rng.choice(["\n", "\r\n", "\r"]) for _ in range(rng.randint(1, 8)))
+        if len(t) <= 6000:
+            continue
+        parts, longest = C.cut_text(t)
+        pieces = [(b - (200 if i else 0), e) for i, (b, e, _) in enumerate(parts)]
+        assert all(0 <= b < e <= b + 6000 for b, e in pieces) and all(x[1] - y[0] == 200 and x[1] < y[1] for x, y in zip(pieces, pieces[1:], strict=False))
+        assert any(k == C.INSIDE for *_, k in parts) == (longest > 6000)
+        if longest <= 6000:
+            lines, p = [], 0
+            for m in C.LINE_END.finditer(t):
+                lines.append((p, m.start()))
+                p = m.end()
+            assert all(any(b <= x and y <= e for b, e in pieces) for x, y in lines)
+
+
 def test_an_edit_alters_only_its_neighbourhood():
     rng = random.Random(3)
     t = code(rng, 200_000)
