@@ -1,4 +1,4 @@
-"""What a single model answer looks like: its ending, verdict, language, opening. Plain functions of whole texts."""
+"""What a single model answer looks like: its ending, verdict, opening. Plain functions of whole texts."""
 
 from __future__ import annotations
 
@@ -29,6 +29,7 @@ CUT_MARK = re.compile(
     (?:truncated|cut(?:[ -]off)?|clipped|shortened|snip(?:ped)?|continued|abgeschnitten|gekürzt|cortado|truncado)\b[^\n]{0,30}[\])>}*_-]{1,3})\s*$""",
     re.I | re.X,
 )
+JSON_BEGIN = re.compile(r"^[ \t]*\{\s*(?:\"|\Z)", re.M)  # an object with a key, not a block of code
 DOTS = re.compile(r"(?:\.{3,}|…)$")
 ABBREVIATION = re.compile(r"(?:^|[\s(])(?:e\.g|i\.e|z\. ?B|d\. ?h|p\. ?ej|bzw|vs|etc|cf|resp|approx|incl|Nr|No)\.$", re.I)
 TERMINAL = re.compile(r"[.!?。！？؟।][\"'”’»«“)\]*_`]*$")
@@ -76,9 +77,9 @@ def ending(text: str) -> str:
         return "complete"
     if mostly_code(lines):
         return "code"
-    if at := [m.start() for m in re.finditer(r"^[ \t]*\{", s, re.M)]:
+    if at := [m.start() for m in JSON_BEGIN.finditer(s)]:
         tail = s[at[-1] :]
-        if tail.count("{") > tail.count("}") and len(tail) < 400:
+        if tail.count("{") > tail.count("}"):
             return "broken"
     if bare.endswith(("}", "]")):
         return "complete"
@@ -96,7 +97,7 @@ def ending(text: str) -> str:
         return "complete" if re.match(r"[-*# ]*[^\W\d_][\w ]{1,30}:\s+\S|\(.*\)$", bare) else "open"
     if not bare[-1].isascii() and not bare[-1].isalnum() and not bare[-1].isspace() and ord(bare[-1]) > 0x2190:
         return "complete"
-    if NOTE.match(bare) and not LIST_NUMBER.match(bare) and len(bare) < 80 and len(lines) > 1 and not re.match(r"\W*(?:FINAL|ANSWER|VERDICT|DECISION)", bare, re.I):
+    if NOTE.match(bare) and not LIST_NUMBER.match(bare) and len(lines) > 1 and not re.match(r"\W*(?:FINAL|ANSWER|VERDICT|DECISION)", bare, re.I):
         return "open"
     return "broken"
 
@@ -113,81 +114,40 @@ def is_empty(text: str | None) -> bool:
 
 
 def has_verdict(text: str) -> bool:
-    """A verdict line, marker or object anywhere, or a verdict word at the end of one of the last two sentences."""
+    """A verdict line, marker or object anywhere, or a verdict word in the last clause of one of the last two sentences."""
     if VERDICT_ANYWHERE.search(text):
         return True
     last = [x for x in re.split(r"(?<=[.!?。])\s+|\n+", text.strip()) if x.strip()][-2:]
-    return any(VERDICT_WORD.search(x[-40:]) for x in last)
-
-
-_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*(?:\"|$)|“[^”\n]*”?|„[^“”\n]*[“”]?|«[^»\n]*»?")
-_IDENTIFIER = re.compile(r"\b\w*(?:_\w+|[a-z][A-Z]\w*|\d\w*)\b|\b[A-Z]{2,}\b|\[\[[^\[\]\n]*\]\]|\{[^{}]*\}")
-# Frequent function words of languages.
-STOPWORDS = {
-    "en": "the of and to is in that it with as for on are this be not by or from at which but an was its if without so before after there has have may would only i you we how into what when then they their one any all each no than can could should does did here looked matches pattern because".split(),
-    "de": "der die das und ist nicht ein eine den dem von zu mit auf für im sich des wird als auch es an werden aus bei hat nur kann wenn oder dass vom zur ohne deshalb daher aber vorher einer einem einen diese dieser ich wir hier nach bis über sehe entspricht muster".split(),
-    "es": "el la los las de que y en un una es no se por con para su del al lo como más pero sin puede muy ya tras así esto función según desde esta este corresponde patrón después llamar".split(),
-    "fr": "le la les de des du et un une est pas que qui dans pour sur au avec ne se plus par ce cette alors mais sans être donc cela peut après je il à elle nous fonction correspond motif donc aucun".split(),
-    "pt": "o a os as de que e em um uma é não se por com para do da no na ao mas sem pode mais isso muito já ser depois portanto função apenas depois nenhuma isso corresponde padrão".split(),
-    "it": "il lo la gli le di che e un una è non si per con del della al ma senza può più questo come sono nel dopo quindi solo".split(),
-    "nl": "de het een en van is niet dat te in op met voor zijn door maar kan meer deze zonder ook wordt als naar uit alleen".split(),
-    "pl": "nie na się z do że jest to po jak ale przez może bez od dla tylko oraz".split(),
-}
-_OF: dict[str, list[str]] = {}
-for _lang, _words in STOPWORDS.items():
-    for _w in _words:
-        _OF.setdefault(_w, []).append(_lang)
-
-
-def language(text: str) -> str | None:
-    """The language of the prose of an answer, or None where there is too little of it. Verdict markers, code and quotations do not count."""
-    s = _IDENTIFIER.sub(" ", _QUOTED.sub(" ", _FENCE.sub(" ", text)))
-    if not s.isascii():
-        letters = [c for c in s if c.isalpha()]
-        if letters:
-            cyr = sum("Ѐ" <= c <= "ӿ" for c in letters)
-            cjk = sum("一" <= c <= "鿿" for c in letters)
-            kana = sum("぀" <= c <= "ヿ" for c in letters)
-            hangul = sum("가" <= c <= "힯" for c in letters)
-            for name, n, weight in (("ja", kana, 3), ("zh", cjk, 3), ("ko", hangul, 3), ("ru", cyr, 1)):
-                if n * weight > 0.5 * (len(letters) - n):
-                    return name
-    score = dict.fromkeys(STOPWORDS, 0.0)
-    hits = 0
-    for w in re.findall(r"[^\W\d_]+", s.lower()):
-        langs = _OF.get(w)
-        if langs:
-            hits += 1
-            for lang in langs:
-                score[lang] += 1 / len(langs)
-    best, second = sorted(score, key=score.get, reverse=True)[:2]
-    return best if hits >= 2 and score[best] >= 1.5 and score[best] > 1.25 * score[second] else None
-
-
-# Phrases by which an answer declines.
-DECLINES = re.compile(
-    r"""\b(?:i(?:['’]m|\s+am)\s+(?:sorry|unable\s+to|not\s+able\s+to\s+(?:help|assist|comply|provide))|(?:i\s+)?(?:can(?:no|['’])?t|can\s+not|won['’]t|will\s+not)\s+(?:help|assist|comply|provide|share|discuss|answer|review|evaluate|analy[sz]e)|
-    must\s+decline|i\s+(?:decline|refuse)|not\s+comfortable|against\s+my|my\s+(?:policy|guidelines|rules)|not\s+be\s+appropriate|may\s+enable\s+misuse|no\s+(?:assessment|verdict)\s+(?:is|will)|is\s+not\s+something\s+i\s+do|
-    tut\s+mir\s+leid|(?:kann|darf|möchte)\s+ich\s+(?:leider\s+)?(?:nicht|keine)|ich\s+(?:kann|darf|werde)\s+(?:leider\s+|hier\s+|dazu\s+)*(?:nicht|keine)|leider\s+nicht|ich\s+lehne|gebe\s+ich\s+.{0,40}keine|
-    lo\s+siento|no\s+puedo|prefiero\s+no|me\s+impiden|no\s+me\s+es\s+posible|debo\s+(?:rechazar|declinar)|désolé|je\s+ne\s+peux\s+pas|não\s+posso|desculpe)""",
-    re.I | re.X,
-)
+    return any(VERDICT_WORD.search(re.split(r"[,;:–—]\s", x)[-1]) for x in last)
+
+
+_HEADING = re.compile(r"\W*(?:\*\*[^\n]*?\*\*|#+[^\n]*|\w+:[^\S\n]*(?=\n))\s*")
+_WORD = re.compile(r"[\w'’-]+")
+_NAME = re.compile(r"_|\d|[a-z][A-Z]")
 
 
 def opening(text: str, words: int = 8) -> str:
-    """The first words of an answer, without marks and markup, identifiers and numbers replaced by #."""
-    s = re.sub(r"^\W*(?:\*\*.*?\*\*|#+[^\n]*|\w+:\s*$)\s*", "", text.strip()[:2000].replace("’", "'"), flags=re.M, count=1)
+    """The first words of an answer behind its headings, without marks and markup, identifiers and numbers replaced by #."""
+    at = 0
+    while (m := _HEADING.match(text, at)) and m.end() > at:
+        at = m.end()
     out = []
-    for w in re.findall(r"[\w'-]+", s)[:words]:
-        w = w.strip("'-")
-        out.append("#" if re.search(r"_|\d|[a-z][A-Z]", w) else w.lower())
+    for m in _WORD.finditer(text, at):
+        w = m.group().replace("’", "'").strip("'-")
+        out.append("#" if _NAME.search(w) else w.lower())
+        if len(out) == words:
+            break
     return " ".join(out)
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?。])\s+|\n")
+
+
 def first_sentence(text: str, words: int = 40) -> str:
     """The opening that is the first sentence, or nothing if that has fewer than five words."""
-    s = opening(re.split(r"(?<=[.!?。])\s+|\n", text.strip()[:2000], maxsplit=1)[0], words)
+    text = text.strip()
+    end = _SENTENCE_END.search(text)
+    s = opening(text[: end.start()] if end else text, words)
     return s if s.count(" ") >= 4 else ""
 
 
@@ -202,13 +162,14 @@ def without_instruction(text: str, template: str) -> list[str]:
 _W = re.compile(r"\w+")
 
 
-def uncovered(answer: list[str], runs: set, n: int = 5) -> list[int]:
-    """Places of words of the answer outside of the runs of n words that the question has."""
-    hit = bytearray(len(answer))
-    for i in range(len(answer) - n + 1):
-        if tuple(answer[i : i + n]) in runs:
-            hit[i : i + n] = b"\x01" * n
-    return [i for i, x in enumerate(hit) if not x]
+def uncovered(answer: list[str], runs: set, n: int = 5) -> int:
+    """How many words of the answer are outside of the runs of n words that the question has."""
+    left, covered = 0, 0
+    for i, run in enumerate(zip(*(answer[k:] for k in range(n)), strict=False)):
+        if run in runs:
+            left += max(0, i - covered)
+            covered = i + n
+    return left + max(0, len(answer) - covered)
 
 
 def word_runs(text: str, n: int = 5) -> set:
@@ -220,20 +181,8 @@ def words_of(text: str) -> list[str]:
     return [x.lower() for x in _W.findall(text)]
 
 
-def is_copy(answer: str, runs: set, short: list[tuple[str, ...]] = ()) -> bool:
-    """Nothing but words of the question, up to a lead-in of four words (or a fiftieth of the answer)."""
-    w = words_of(answer)
-    if tuple(w) in short:
+def is_copy(answer: list[str], outside: int, short: list[list[str]] = ()) -> bool:
+    """Whether an answer (its words, and how many of them are ``uncovered``) has nothing but words of the question, up to a lead-in of four words (or a fiftieth of the answer)."""
+    if answer in short:
         return True
-    if len(w) < 5:
-        return False
-    most = min(max(4, len(w) // 50), (len(w) - 1) // 2)
-    # words that no run of five covers, up to one more than allowed
-    left, covered = 0, 0
-    for i in range(len(w) - 4):
-        if tuple(w[i : i + 5]) in runs:
-            left += max(0, i - covered)
-            covered = i + 5
-        if left + max(0, i - covered) > most:
-            return False
-    return left + max(0, len(w) - covered) <= most
+    return len(answer) >= 5 and outside <= min(max(4, len(answer) // 50), (len(answer) - 1) // 2)

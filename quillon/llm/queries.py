@@ -100,7 +100,7 @@ def p4_cut_lengths(spark: SparkSession, d: str) -> DataFrame:
 def _broken(spark: SparkSession, d: str) -> DataFrame:
     answers = table(spark, d, "prediction_results").select("row_id", "run_id", "sample_id", F.col("response_text").alias("text"))
     answers = answers.join(_questions(spark, d), "run_id", "left").withColumnRenamed("run_id", "source")
-    return pairs.broken_pairs(answers, table(spark, d, "samples"))
+    return pairs.broken_pairs(answers, table(spark, d, "samples"), table(spark, d, "documents").select("lang", "text"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,10 @@ at each length is tested (Poisson, one-sided) against the hazards of the ``aroun
 Benjamini-Hochberg control of the false-discovery rate over all tests. Window functions run over the counts per length,
 never over the answers.
 
-An answer counts as truncated if its ending is broken (mid-word, mid-sentence, inside a marker, object, fence or quotation, a
-mark in place of the rest), or if its ending is merely open (a line without an end mark that may be a note) and its length is a
-significant one. Answers cut exactly after a complete sentence cannot be told from complete ones and are not flagged.
+The significant lengths come first: an answer with an incomplete ending (broken, marked or open) at a significant length of its source or
+of all is cut by a limit ('limit'). An answer off these lengths is cut in transfer ('transfer') only on evidence of its own: its ending
+is broken (mid-word, mid-sentence, inside a marker, object, fence or quotation) or a mark stands in place of the rest; a merely open
+one (a line without an end mark that may be a note) is none. Answers cut exactly after a complete sentence cannot be told from complete ones and are not flagged.
 
 Results on special input: rows without an id are left out; null and blank answers, error notices, answers that are source text alone and copies of the
 question's instruction are not truncated. Repeated rows count each. Empty tables give empty results. Other columns are not read.
@@ -26,7 +27,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._answers import DECLINES, ending, has_verdict, is_copy, mostly_code, opening, without_instruction, word_runs
+from quillon.session import if_small, materialise
+
+from ._answers import LINES, ending, is_copy, mostly_code, uncovered, without_instruction, word_runs, words_of
 
 ENDINGS = "src string, row_id long, pos int, source string, ending string, n_chars int, n_bytes int"
 
@@ -40,14 +43,13 @@ def endings(answers: DataFrame) -> DataFrame:
             kinds = []
             for text, template in zip(pdf.text, pdf.template, strict=True):
                 kind = ending(text)
-                if kind in ("broken", "marked", "open"):
-                    if template is not None:
-                        if template not in runs:
-                            runs[template] = word_runs(template.replace("{code}", " "))
-                        if is_copy(text, runs[template]) or mostly_code(without_instruction(text, template)):
-                            kind = "copy"
-                    if kind != "copy" and len(text) < 400 and DECLINES.search(opening(text, 12)) and not has_verdict(text):
-                        kind = "refusal" if ending(text.rstrip().rstrip(".") + ".") == "complete" and kind == "open" else kind
+                if kind in ("broken", "marked", "open") and template is not None:
+                    if template not in runs:
+                        runs[template] = word_runs(template.replace("{code}", " "))
+                    w = words_of(text)
+                    outside = uncovered(w, runs[template])
+                    if is_copy(w, outside) or mostly_code(without_instruction(text, template) if outside < len(w) else LINES.split(text)):
+                        kind = "copy"
                 kinds.append(kind)
             yield pd.DataFrame(
                 {
@@ -115,18 +117,28 @@ def length_hazards(ends: DataFrame, around: int = 25, least: int = 5, rate: floa
 
 
 def flag_truncated(ends: DataFrame, hazards: DataFrame) -> DataFrame:
-    """``ends`` with at_cut (its length is significant for its source or for all) and truncated."""
-    cut = hazards.where("significant").select("source", "unit", "length")
-    keys = ends.select("src", "row_id", "pos", F.expr("stack(4, source, 'chars', n_chars, '*', 'chars', n_chars, source, 'bytes', n_bytes, '*', 'bytes', n_bytes) as (source, unit, length)"))
-    at = keys.join(cut, ["source", "unit", "length"], "left_semi").select("src", "row_id", "pos").distinct().withColumn("at_cut", F.lit(True))
-    out = ends.join(at, ["src", "row_id", "pos"], "left").withColumn("at_cut", F.coalesce("at_cut", F.lit(False)))
-    return out.withColumn("truncated", F.col("ending").isin("broken", "marked") | ((F.col("ending") == "open") & F.col("at_cut")))
+    """``ends`` with at_cut (its length is significant for its source or for all), cause ('limit', 'transfer' or null) and truncated.
+
+    Significant lengths are few, as many answers end at each: a source's are one row, and its answers are looked up in them, not joined to them.
+    """
+    cut = materialise(hazards.where("significant").select("source", "unit", "length"), "cuts")
+    lists = [F.array_sort(F.collect_set(F.when(F.col("unit") == u, F.col("length")))).alias(f"_{u}") for u in ("chars", "bytes")]
+    every = cut.where("source = '*'").agg(*lists)
+    of_all = {u: every.select(f"_{u}").scalar() for u in ("chars", "bytes")}
+    out = ends.join(if_small(cut.where("source <> '*'").groupBy("source").agg(*lists)), "source", "left")
+    own = {u: F.coalesce(F.array_contains(f"_{u}", F.col(f"n_{u}")), F.lit(False)) for u in of_all}
+    hit = [x for u in of_all for x in (own[u], F.coalesce(F.array_contains(of_all[u], F.col(f"n_{u}")), F.lit(False)))]
+    out = out.withColumn("at_cut", hit[0] | hit[1] | hit[2] | hit[3]).select(*ends.columns, "at_cut")
+    out = out.withColumn("cause", F.when(F.col("at_cut") & F.col("ending").isin("broken", "marked", "open"), "limit").when(F.col("ending").isin("broken", "marked"), "transfer"))
+    return out.withColumn("truncated", F.col("cause").isNotNull())
 
 
 def truncation_rates(flagged: DataFrame, dims: DataFrame) -> DataFrame:
-    """(src, run_id, model_name, backend, answers, truncated, truncated_share); flagged has run_id as its source, dims run_id, model_name, backend."""
-    n = flagged.groupBy("src", F.col("source").alias("run_id")).agg(F.count("*").alias("answers"), F.sum(F.col("truncated").cast("long")).alias("truncated"))
+    """(src, run_id, model_name, backend, answers, truncated, by_limit, truncated_share); flagged has run_id as its source, dims run_id, model_name, backend."""
+    n = flagged.groupBy("src", F.col("source").alias("run_id")).agg(
+        F.count("*").alias("answers"), F.sum(F.col("truncated").cast("long")).alias("truncated"), F.sum((F.coalesce("cause", F.lit("")) == "limit").cast("long")).alias("by_limit")
+    )
     return (
         n.join(dims.select("run_id", "model_name", "backend").dropDuplicates(["run_id"]), "run_id", "left")
-        .select("src", "run_id", "model_name", "backend", "answers", "truncated", F.round(F.col("truncated") / F.col("answers"), 6).alias("truncated_share"))
+        .select("src", "run_id", "model_name", "backend", "answers", "truncated", "by_limit", F.round(F.col("truncated") / F.col("answers"), 6).alias("truncated_share"))
     )
