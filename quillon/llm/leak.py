@@ -7,32 +7,40 @@ sequences that differ in few places, and equal windows equal ones. A repetition
 with equal samples are candidates. There are as many repetitions as the target recall at ``max_edits`` edits needs by the
 collision rates measured on windows with so many random edits: one for none. Candidates are verified on the words themselves.
 
-Of max_edits + 1 equal pieces of a window, ``max_edits`` edits leave one as it is. With edits allowed, only windows around a run of
-``window // (max_edits + 1)`` words that the other side has are walked; no window within ``max_edits`` edits is left out by that.
+Windows are item-sized: an item of fewer words than ``window`` is one window, with edits in proportion.
 
-Item keys go to every executor only if the items hold at most ``BROADCAST_WORDS`` words (measured first); otherwise documents
-and items meet in a shuffle on the sampled keys.
+Of max_edits + 1 equal pieces of a window, ``max_edits`` edits leave one as it is. Only windows around a run of
+``window // (max_edits + 1)`` words that some item has are walked; no window within ``max_edits`` edits is left out by that.
 
-Results on special input: null, empty and blank texts and rows without an id contain nothing; items of fewer than ``window`` words cannot leak.
-Repeated documents and items give one row for each pair of ids. Other columns are not read.
+The items' windows go to every executor, as one broadcast, if the items hold at most ``BROADCAST_WORDS`` words (measured first);
+otherwise documents and items meet in a shuffle on the sampled keys, of documents only those of windows that a bitmap of the
+items' runs (of bounded size) lets through. Both ways give the same rows.
+
+Results on special input: null, empty and blank texts and rows without an id contain nothing; items without a word cannot leak.
+Rows with one id are one document or item: each pair of ids gives one row. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import materialise, only_ids
+
 from ._text import U64, blocks, mix, tokens
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
 BROADCAST_WORDS = 4_000_000
+BITMAP_BITS = 27  # most bits of the runs' bitmap, as a power of two
 FILLER = U64(0x5BD1E9955BD1E995)
 
 
@@ -159,19 +167,44 @@ class _Lookup:
         return some[held], lo[held], hi[held]
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How windows of one size are searched for: the items of exactly ``window`` words (``least`` or more for the largest window)."""
+
+    window: int
+    max_edits: int
+    steps: np.ndarray
+    largest: bool
+
+    @property
+    def run(self) -> int:
+        """Words in a row that a window within ``max_edits`` edits has in common with the item's."""
+        return max(1, self.window // (self.max_edits + 1))
+
+
+def plans(sizes: list[int], window: int, max_edits: int, sample: int, target: float) -> list[Plan]:
+    out = []
+    for n in sorted({min(n, window) for n in sizes if n}):
+        edits = max_edits * n // window
+        some = min(sample, 3 * n)
+        out.append(Plan(n, edits, sampled_steps(n, some, repetitions(n, edits, some, target), bool(edits)), n == window))
+    return out
+
+
 class _Items:
-    """The items' windows by key."""
+    """The windows of a plan's items by key."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, max_edits: int, steps: np.ndarray):
-        self.window, self.words = window, [WORD.findall(t.lower()) if t.isascii() else [w.lower() for w in WORD.findall(t)] for _, t in items]
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+        words = [(i, t, WORD.findall(t.lower()) if t.isascii() else [w.lower() for w in WORD.findall(t)]) for i, t in items]
+        words = [x for x in words if (len(x[2]) >= plan.window if plan.largest else len(x[2]) == plan.window)]
+        self.plan, self.words, self.ids = plan, [w for *_, w in words], [i for i, *_ in words]
         keys, item, place, runs = [], [], [], []
-        for b in blocks(pa.array([t for _, t in items], pa.string())):
+        for b in blocks(pa.array([t for _, t, _ in words], pa.string())):
             t = tokens(b, words_only=True, lower=True)
             ends = t.first[1:][t.text]
-            at, k = window_keys(t.hash, ends, window, steps)
-            runs.append(run_keys(t.hash, ends, window // (max_edits + 1))[1])
-            for r in range(len(steps)):
+            at, k = window_keys(t.hash, ends, plan.window, plan.steps)
+            runs.append(run_keys(t.hash, ends, plan.run)[1])
+            for r in range(len(plan.steps)):
                 keys.append(k[r])
                 item.append(t.text[at] + b.first)
                 place.append(at - t.first[t.text[at]])
@@ -200,43 +233,54 @@ def longest_run(words: list[str], at: int, item: list[str], place: int) -> int:
     return left + right if right else 0
 
 
-def _search(items: list[tuple[int, str]], window: int, max_edits: int, steps: np.ndarray):
-    held: list[_Items] = []
+_held: dict[str, list[_Items]] = {}  # of the last search that this worker took part in
+
 
+def judged(words: list[str], item: list[str], places: Iterable[tuple[int, int]], window: int, max_edits: int) -> tuple[int, int, int, int] | None:
+    """(fewest edits, longest run, words of the item covered, its words) of the pairs of places that are within the edits; None if none is."""
+    best, longest, covered = max_edits + 1, 0, set()
+    for at, place in places:
+        e = verified(words, at, item, place, window, max_edits)
+        if e <= max_edits:
+            best, longest = min(best, e), max(longest, longest_run(words, at, item, place))
+            covered.update(range(place, place + window))
+    return (best, longest, len(covered), len(item)) if best <= max_edits else None
+
+
+def _search(shared, name: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(_Items(items, window, max_edits, steps))
-        have = held[0]
+        if name not in _held:
+            _held.clear()
+            items, some = shared.value
+            _held[name] = [_Items(items, p) for p in some]
         for batch in it:
             ids, texts = batch.column(0), batch.column(1)
             rows: list[tuple] = []
             for b in blocks(texts):
                 t = tokens(b, words_only=True, lower=True)
-                at, ends = None, t.first[1:][t.text]
-                if max_edits:
-                    runs, k = run_keys(t.hash, ends, window // (max_edits + 1))
-                    at = windows_near(runs[have.runs.ranges(k)[0]], ends, window, max_edits)
-                at, keys = window_keys(t.hash, ends, window, steps, at)
-                hits: dict[int, set] = defaultdict(set)
-                for r in range(len(steps)):
-                    for k, lo, hi in zip(*have.windows.ranges(keys[r]), strict=True):
-                        w = at[k]
-                        d = t.text[w]
-                        hits[d].update((int(w - t.first[d]), x) for x in range(lo, hi))
-                for d, found in hits.items():
-                    best: dict[int, list] = {}
-                    words = [w.lower() for w in WORD.findall(texts[b.first + int(d)].as_py())]
-                    spans: dict[int, set] = defaultdict(set)
-                    for w, x in found:
-                        i, place = int(have.item[x]), int(have.place[x])
-                        e = verified(words, w, have.words[i], place, window, max_edits)
-                        if e <= max_edits:
-                            was = best.setdefault(i, [max_edits + 1, 0])
-                            was[0] = min(was[0], e)
-                            spans[i].update(range(place, place + window))
-                            was[1] = max(was[1], longest_run(words, w, have.words[i], place))
-                    doc = ids[b.first + int(d)].as_py()
-                    rows += [(doc, have.ids[i], e, run_, len(spans[i]), len(have.words[i])) for i, (e, run_) in best.items()]
+                ends = t.first[1:][t.text]
+                for have in _held[name]:
+                    p = have.plan
+                    hits: dict[int, set] = defaultdict(set)
+                    runs, k = run_keys(t.hash, ends, p.run)
+                    at = windows_near(runs[have.runs.ranges(k)[0]], ends, p.window, p.max_edits)
+                    if not len(at):
+                        continue
+                    at, keys = window_keys(t.hash, ends, p.window, p.steps, at)
+                    for r in range(len(p.steps)):
+                        for k, lo, hi in zip(*have.windows.ranges(keys[r]), strict=True):
+                            w = at[k]
+                            d = t.text[w]
+                            hits[d].update((int(w - t.first[d]), x) for x in range(lo, hi))
+                    for d, found in hits.items():
+                        words = [w.lower() for w in WORD.findall(texts[b.first + int(d)].as_py())]
+                        of: dict[int, list] = defaultdict(list)
+                        for w, x in found:
+                            of[int(have.item[x])].append((w, int(have.place[x])))
+                        doc = ids[b.first + int(d)].as_py()
+                        for i, places in of.items():
+                            if got := judged(words, have.words[i], places, p.window, p.max_edits):
+                                rows.append((doc, have.ids[i], *got))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
@@ -255,22 +299,32 @@ def _keyed(ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.view(np.int64)), pa.array(places.astype(np.int32))], names=["id", "key", "place"])
 
 
-def _runs_of(n: int):
-    """(id, key, place) of every run of ``n`` words of every text."""
+def _bits_of(run: int, bits: int):
+    """(word, mask): the bitmap's words that a batch's runs of ``run`` words set."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = np.asarray(batch.column(0))
             for b in blocks(batch.column(1)):
                 t = tokens(b, words_only=True, lower=True)
-                at, keys = run_keys(t.hash, t.first[1:][t.text], n)
-                yield _keyed(ids[t.text[at] + b.first], keys, at - t.first[t.text[at]])
+                at = np.unique(run_keys(t.hash, t.first[1:][t.text], run)[1] >> U64(64 - bits))
+                word, first = np.unique(at >> U64(6), return_index=True)
+                mask = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    return go
 
-    return run
 
+def bitmap(items: DataFrame, run: int, words: int) -> tuple[np.ndarray, int]:
+    """(bitmap, its number of bits as a power of two) of the items' runs: eight bits for each word of the items, at most 2 ** ``BITMAP_BITS``."""
+    bits = min(BITMAP_BITS, max(10, (8 * words).bit_length()))
+    got = items.mapInArrow(_bits_of(run, bits), "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(U64)
+    return out, bits
 
-def _keys_of(window: int, max_edits: int, steps: np.ndarray):
-    """(id, key, place) of every window of every text; of those with a third column, places of runs, of the windows near to them."""
+
+def _keys_of(plan: Plan, shared=None, bits: int = 0):
+    """(id, key, place) of every window of every text, or of the windows near runs that the bitmap has."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -278,26 +332,20 @@ def _keys_of(window: int, max_edits: int, steps: np.ndarray):
             for b in blocks(batch.column(1)):
                 t = tokens(b, words_only=True, lower=True)
                 near, ends = None, t.first[1:][t.text]
-                if batch.num_columns > 2:
-                    places = [t.first[d] + np.asarray(batch.column(2)[b.first + d].values) for d in range(b.n)]
-                    runs = np.concatenate([p[p < t.first[d + 1]] for d, p in enumerate(places)])
-                    near = windows_near(runs, ends, window, max_edits)
-                at, keys = window_keys(t.hash, ends, window, steps, near)
+                if shared is not None:
+                    runs, k = run_keys(t.hash, ends, plan.run)
+                    k >>= U64(64 - bits)
+                    held = (shared.value[(k >> U64(6)).astype(np.int64)] >> (k & U64(63))) & U64(1)
+                    near = windows_near(runs[held == 1], ends, plan.window, plan.max_edits)
+                at, keys = window_keys(t.hash, ends, plan.window, plan.steps, near)
                 d = t.text[at]
-                for r in range(len(steps)):
+                for r in range(len(plan.steps)):
                     yield _keyed(ids[d + b.first], keys[r], at - t.first[d])
 
     return run
 
 
-def _with_shared_runs(texts: DataFrame, others: DataFrame, n: int) -> DataFrame:
-    """``texts`` (id, text) that have runs of ``n`` words of ``others``, with the places of these."""
-    theirs = others.mapInArrow(_runs_of(n), KEYED).select("key").distinct()
-    places = texts.mapInArrow(_runs_of(n), KEYED).join(theirs, "key", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
-    return texts.join(places, "id").select("id", "text", "places")
-
-
-def _verify_rows(window: int, max_edits: int):
+def _verify_rows(plan: Plan):
     import pandas as pd
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,42 +353,44 @@ def _verify_rows(window: int, max_edits: int):
             rows = []
             for doc, item, text, question, places in zip(pdf.doc_id, pdf.item_id, pdf.text, pdf.item_text, pdf.places, strict=True):
                 words, other = ([w.lower() for w in WORD.findall(x)] for x in (text, question))
-                best, run_, covered = max_edits + 1, 0, set()
-                for p in places:
-                    at, place = p["w"], p["p"]
-                    e = verified(words, at, other, place, window, max_edits)
-                    if e <= max_edits:
-                        best, run_ = min(best, e), max(run_, longest_run(words, at, other, place))
-                        covered.update(range(place, place + window))
-                if best <= max_edits:
-                    rows.append((doc, item, best, run_, len(covered), len(other)))
+                if got := judged(words, other, ((p["w"], p["p"]) for p in places), plan.window, plan.max_edits):
+                    rows.append((doc, item, *got))
             yield pd.DataFrame(rows, columns=_NAMES)
 
     return run
 
 
+def _through_shuffle(docs: DataFrame, items: DataFrame, plan: Plan) -> DataFrame:
+    """The leaks of one plan where its items are too many to send: only sampled keys, then candidates' texts, are shuffled."""
+    n = F.size(F.regexp_extract_all("text", F.lit(f"({WORD.pattern})"), F.lit(1)))
+    items = items.where(n >= plan.window if plan.largest else n == plan.window)
+    words = items.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    held, bits = bitmap(items, plan.run, words)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    d = docs.mapInArrow(_keys_of(plan, shared, bits), KEYED).select(F.col("id").alias("doc_id"), "key", F.col("place").alias("w"))
+    i = items.mapInArrow(_keys_of(plan), KEYED).select(F.col("id").alias("item_id"), "key", F.col("place").alias("p"))
+    meet = materialise(d.join(i, "key").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("w", "p")).alias("places")), "meet")
+    return (
+        meet.join(only_ids(docs, meet, "doc_id"), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
+        .select("doc_id", "item_id", "text", "item_text", "places").mapInPandas(_verify_rows(plan), LEAKS)
+    )
+
+
 def find_leaks(
-    docs: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 0, sample: int = 7, target_recall: float = 0.99, broadcast_words: int = BROADCAST_WORDS
+    docs: DataFrame, items: DataFrame, window: int = 13, max_edits: int = 1, sample: int = 7, target_recall: float = 0.99, broadcast_words: int = BROADCAST_WORDS
 ) -> DataFrame:
     """Documents (doc_id, text) with windows of items (item_id, text) within ``max_edits`` edits.
 
     doc_id, item_id, edits (fewest of a window), run_words (longest run of equal words), covered_words of item_words.
     """
-    steps = sampled_steps(window, sample, repetitions(window, max_edits, sample, target_recall), bool(max_edits))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").dropDuplicates(["item_id"])
-    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    if size * len(steps) <= broadcast_words:
-        held = [(r.item_id, r.text) for r in items.collect()]
-        return docs.mapInArrow(_search(held, window, max_edits, steps), LEAKS)
-    d, i = docs.withColumnRenamed("doc_id", "id"), items.withColumnRenamed("item_id", "id")
-    if max_edits:
-        n = window // (max_edits + 1)
-        d, i = _with_shared_runs(d, i, n), _with_shared_runs(i, d, n)
-    d = d.mapInArrow(_keys_of(window, max_edits, steps), KEYED).select(F.col("id").alias("doc_id"), "key", F.col("place").alias("w"))
-    i = i.mapInArrow(_keys_of(window, max_edits, steps), KEYED).select(F.col("id").alias("item_id"), "key", F.col("place").alias("p"))
-    meet = d.join(i, "key").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("w", "p")).alias("places"))
-    return (
-        meet.join(docs.dropDuplicates(["doc_id"]), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-        .select("doc_id", "item_id", "text", "item_text", "places").mapInPandas(_verify_rows(window, max_edits), LEAKS)
-    )
+    n = F.size(F.regexp_extract_all("text", F.lit(f"({WORD.pattern})"), F.lit(1)))
+    sizes = items.groupBy(F.least(n, F.lit(window)).alias("n")).agg(F.sum(n).alias("words")).collect()  # at most window + 1 rows
+    some = plans([r.n for r in sizes], window, max_edits, sample, target_recall)
+    if sum(r.words * len(p.steps) for r in sizes for p in some if p.window == r.n) <= broadcast_words:
+        shared = docs.sparkSession.sparkContext.broadcast(([(r.item_id, r.text) for r in items.collect()] if some else [], some))
+        found = docs.mapInArrow(_search(shared, uuid.uuid4().hex), LEAKS)
+    else:
+        found = reduce(DataFrame.unionByName, [_through_shuffle(docs, items, p) for p in some])
+    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), *(F.max(c).alias(c) for c in ("run_words", "covered_words", "item_words")))

@@ -124,18 +124,19 @@ def _leaks(spark: SparkSession, d: str, **options) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the leaks of windows of 13 words with up to one edit: those with 13 equal words in a row."""
     return _leaks(spark, d).where("run_words >= 13").select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """Of each item: the documents it leaked into, and its longest leaked run. Items that did not leak have 0."""
-    per = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.max("covered_words").alias("covered_words"))
+    """Of each item: the documents that have 13 of its words in a row, and its longest leaked run. Items that did not leak have 0."""
+    per = _leaks(spark, d, max_edits=0).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.max("covered_words").alias("covered_words"))
     items = table(spark, d, "eval_items").select("item_id", "benchmark", "kind")
     return items.join(per, "item_id", "left").select("item_id", "benchmark", "kind", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "longest_run", "covered_words")))
 
 
 def p7_edited(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks with up to two word edits in a window of 26 words."""
+    """Leaks with up to two word edits in a window of 26 words; shorter items as a whole, with edits in proportion."""
     return _leaks(spark, d, window=26, max_edits=2, sample=10)
 
 
@@ -179,6 +180,15 @@ SQL: dict[str, str] = {
     "p2_found": r"""
         SELECT row_id, CASE WHEN list_max(list_transform(string_split_regex(code, '\r\n|\n|\r'), lambda x: length(x))) > 6000 THEN 'inside' ELSE 'line' END AS cut_kind
         FROM samples WHERE length(code) > 6000""",
+    "p7_items": r"""
+        WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS words FROM documents WHERE text IS NOT NULL
+                   UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') FROM eval_items),
+             n AS (SELECT k, id, p, list_slice(words, p, p + 12) AS run FROM (SELECT *, unnest(range(1, len(words) - 11)) AS p FROM w WHERE len(words) >= 13)),
+             m AS (SELECT d.id AS doc_id, i.id AS item_id, d.p AS dp, i.p AS ip FROM n d JOIN n i ON d.run = i.run AND d.k = 'd' AND i.k = 'i'),
+             g AS (SELECT *, ip - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY ip) AS g FROM m),
+             r AS (SELECT item_id, max(n) + 12 AS longest_run FROM (SELECT item_id, count(*) AS n FROM g GROUP BY doc_id, item_id, dp - ip, g) GROUP BY item_id),
+             c AS (SELECT item_id, max(n) AS covered_words, count(*) AS documents FROM (SELECT doc_id, item_id, count(DISTINCT x) AS n FROM (SELECT doc_id, item_id, unnest(range(ip, ip + 13)) AS x FROM m) GROUP BY ALL) GROUP BY item_id)
+        SELECT item_id, benchmark, kind, coalesce(documents, 0)::bigint AS documents, coalesce(longest_run, 0)::int AS longest_run, coalesce(covered_words, 0)::int AS covered_words FROM eval_items LEFT JOIN r USING (item_id) LEFT JOIN c USING (item_id)""",
     "p7_found": r"""
         WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS words FROM documents WHERE text IS NOT NULL
                    UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') FROM eval_items),

@@ -30,7 +30,8 @@ def brute(docs, items, n=13):
 
 
 @pytest.mark.parametrize("words", [L.BROADCAST_WORDS, 0])
-def test_equals_brute_force(spark, words):
+@pytest.mark.parametrize("edits", [0, 1])
+def test_equals_brute_force(spark, words, edits):
     rng = random.Random(2)
     items = [(i, text(rng, rng.choice([5, 12, 13, 14, 40]))) for i in range(60)] + [(98, None), (99, "")]
     docs = [(0, None), (1, ""), (2, " \n")]
@@ -42,7 +43,7 @@ def test_equals_brute_force(spark, words):
             k = rng.randrange(max(1, len(src) - n))
             t[10:10] = [w.upper() + rng.choice(["", ",", "\n", " — "]) for w in src[k : k + n]]
         docs.append((d, " ".join(t)))
-    got = L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), broadcast_words=words).where("run_words >= 13")
+    got = L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), max_edits=edits, broadcast_words=words).where("run_words >= 13")
     rows = [(r.doc_id, r.item_id) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(docs, items) and len(rows) > 20
 
@@ -78,6 +79,50 @@ def test_short_items_with_two_edits_are_found(spark, words, length):
     assert all(r.doc_id == r.item_id and r.edits <= 2 for r in got) and len({r.doc_id for r in got}) == len(got) >= 0.98 * 400
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_recall_at_the_parameters_of_p7_edited(spark, edits):
+    """Planted windows with up to two edits are found at the target of 0.99 or more; those with three are none."""
+    rng = random.Random(80 + edits)
+    items = [(i, text(rng, rng.choice([26, 28, 31]))) for i in range(1000)]
+    docs, within = [], set()
+    for i, t in items:
+        w = t.split(" ")
+        for _ in range(edits):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["new"], [w[k], "new"]])
+        docs.append((i, text(rng, 20) + " " + " ".join(w) + " " + text(rng, 20)))
+        a = t.split(" ")
+        words = docs[-1][1].split(" ")
+        if any(L.edits_within(a[p : p + 26], words[q : q + 28], 2, prefix=True) <= 2 for p in range(len(a) - 25) for q in range(12, len(words) - 23)):
+            within.add(i)
+    got = {(r.doc_id, r.item_id) for r in L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), window=26, max_edits=2, sample=10).collect()}
+    assert all(a == b for a, b in got) and {a for a, _ in got} <= within
+    assert len(within) >= (0 if edits == 3 else 950) and len(got) >= 0.99 * len(within)
+
+
+@pytest.mark.parametrize("words", [L.BROADCAST_WORDS, 0])
+def test_windows_are_item_sized(spark, words):
+    rng = random.Random(12)
+    items = [(1, text(rng, 24)), (2, text(rng, 13)), (3, text(rng, 5)), (4, "one"), (5, "…"), (6, text(rng, 60))]
+    docs = []
+    for i, t in items:
+        w = t.split(" ")
+        docs.append((10 * i, "x y " + t.upper() + " z"))
+        w[len(w) // 2] = "other"
+        docs.append((10 * i + 1, "x y " + " ".join(w) + " z"))
+    got = {(r.doc_id, r.item_id) for r in L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), window=26, max_edits=2, sample=10, broadcast_words=words).collect()}
+    assert got == {(10, 1), (11, 1), (20, 2), (21, 2), (30, 3), (40, 4), (60, 6), (61, 6)}
+
+
+def test_both_ways_give_the_same_rows_for_repeated_ids(spark):
+    rng = random.Random(13)
+    items = [(i, text(rng, 30)) for i in range(20)]
+    docs = [(i % 30, text(rng, 15) + " " + rng.choice(items)[1] + " " + text(rng, 5)) for i in range(60)]
+    items += [items[3], items[4]]
+    both = [sorted(map(tuple, L.find_leaks(table(spark, docs, "doc_id"), table(spark, items, "item_id"), broadcast_words=n).collect())) for n in (L.BROADCAST_WORDS, 0)]
+    assert both[0] == both[1] and len({r[:2] for r in both[0]}) == len(both[0]) >= 40
+
+
 def test_repetitions_reach_the_target_by_measured_rates():
     chance = L.collision_chances(26, 2, 10)
     n = L.repetitions(26, 2, 10, 0.99)
@@ -113,4 +158,4 @@ def test_long_text(spark):
     item = text(rng, 30)
     docs = [(1, text(rng, 200_000) + " " + item + " " + text(rng, 1000))]
     r = L.find_leaks(table(spark, docs, "doc_id"), table(spark, [(7, item)], "item_id")).collect()
-    assert [(x.item_id, x.covered_words, x.item_words) for x in r] == [(7, 30, 30)] and r[0].run_words >= 30
+    assert [(x.item_id, x.covered_words, x.item_words) for x in r] == [(7, 30, 30)] and r[0].run_words >= 30 and r[0].edits == 0
