@@ -1,12 +1,17 @@
-"""Near-duplicate records by banded MinHash with exact verification.
+"""Near-duplicate records by a MinHash LSH forest with exact verification.
 
 Every text becomes the set of its runs of ``shingle`` consecutive tokens. Texts with the same set form a class and only
-the class's first row goes on. A class gets 128 MinHash values; each of ``trees`` bands hashes the first values of a
-selection of ``MAX_DEPTH`` of them. Two classes are candidates if they agree in some band. All bands have one length, the
-longest at which a pair at the threshold is found with the target chance; there are no sorted tries. A shorter prefix is
-tried only if the recall estimated from the verified pairs is below the target, which it cannot be while some length
-reaches the target: verified pairs are alike by the threshold or more. A 128-bit sketch drops hopeless candidates inside the join (a true pair is lost with chance under 1e-5);
-the rest is verified on the whole texts.
+the class's first row goes on. A class gets 128 MinHash values, and in each of ``trees`` tries a label, a sequence of such values.
+Two classes are candidates if their labels have a leaf of some trie in common.
+
+A label is one number: first a hash of the values that every leaf needs (the shortest prefix, at which all tries together find a pair at
+the threshold with the target chance), then ``LEVELS`` further values of four bits each, so that prefixes of any length are cut from
+it by a shift. Where a node at the shortest prefix holds more than ``crowd`` classes, each of them begins at the longest prefix that still has
+company in it, and its prefixes are shortened, the one with the least additional company first, until the chance that its own leaves find a pair at the
+threshold reaches the target again: tries with few alike make up for those with many. A node is a leaf if one of its classes asks for it.
+The chance of every class is thus at least the target, whatever the data, and no class is dropped from a crowded node.
+
+A 128-bit sketch drops hopeless candidates (a true pair is lost with chance under 1e-5); the rest is verified on the whole texts.
 
 Results on special input: null and blank texts and rows without src or id belong to no group and no pair. Texts with fewer than ``shingle`` tokens
 have no run and are alike only if they are equal. Equal texts are alike whatever their length. Repeated row ids count
@@ -29,27 +34,30 @@ from quillon.session import materialise, only_ids
 
 from ._text import U64, BLOCK_BYTES, blocks, hash_ranges, mix, tokens
 
-PERMUTATIONS, MAX_DEPTH = 128, 8
+PERMUTATIONS = 128
+LEVELS, BITS = 6, 4  # further values of a label and the bits of each
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 
 
-def depth_for(threshold: float, trees: int, target: float) -> int:
-    """The longest prefix at which ``trees`` tries find a pair of that similarity with the target chance."""
-    fits = [d for d in range(1, MAX_DEPTH + 1) if found_chance(threshold, d, trees) >= target]
-    return max(fits, default=1)
-
-
 def found_chance(similarity, depth: int, trees: int):
     return 1 - (1 - similarity**depth) ** trees
 
 
-def _selections(trees: int) -> np.ndarray:
+def depth_for(threshold: float, trees: int, target: float) -> int:
+    """The longest prefix at which ``trees`` tries find a pair of that similarity with the target chance; 1 if none does."""
+    d = 1
+    while found_chance(threshold, d + 1, trees) >= target and threshold < 1:
+        d += 1
+    return d
+
+
+def _selections(trees: int, depth: int) -> np.ndarray:
     """Which MinHash values each trie uses, in order: every value about equally often."""
     rng = np.random.default_rng(11)
-    rounds = math.ceil(trees * MAX_DEPTH / PERMUTATIONS)
+    rounds = math.ceil(trees * depth / PERMUTATIONS)
     order = np.concatenate([rng.permutation(PERMUTATIONS) for _ in range(rounds)])
     # depth by depth, so that short prefixes of different tries share no value as long as possible
-    return order[: trees * MAX_DEPTH].reshape(MAX_DEPTH, trees).T
+    return order[: trees * depth].reshape(depth, trees).T
 
 
 def shingle_sets(b, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +83,7 @@ def _signatures(shingle: int, trees: int, depth: int):
     rng = np.random.default_rng(7)
     a = rng.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     c = rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
-    pick = _selections(trees)[:, :depth]
+    pick = _selections(trees, depth + LEVELS)
     salt = mix(rng.integers(1, 1 << 63, trees, dtype=U64))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +111,8 @@ def _signatures(shingle: int, trees: int, depth: int):
                 key = np.tile(salt, (b.n, 1))
                 for d in range(depth):
                     key = mix(key * U64(0x9FB21C651E98DF25) + sig[:, pick[:, d]].astype(U64))
+                for d in range(depth, depth + LEVELS):
+                    key = (key << U64(BITS)) | ((sig[:, pick[:, d]] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(U64)
                 bits = np.packbits(((sig * np.uint32(0x85EBCA6B)) >> np.uint32(17) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
                 has = size > 0
                 keys = pa.ListArray.from_arrays(
@@ -119,7 +129,7 @@ def _signatures(shingle: int, trees: int, depth: int):
     return run
 
 
-SIGNATURE = "src string, row_id long, f1 long, f2 long, n int, s1 long, s2 long, keys array<long>"
+SIGNATURE = "src string, row_id long, f1 long, f2 long, n int, s1 long, s2 long, keys array<long>"  # keys: a label for each trie
 
 
 def _sketch_slack(threshold: float) -> int:
@@ -149,8 +159,80 @@ def _verify(shingle: int, threshold: float):
     return run
 
 
+def _node(level: int):
+    return F.shiftrightunsigned("key", BITS * (LEVELS - level)).alias("node")
+
+
+def _asks(threshold: float, depth: int, trees: int, target: float):
+    """Of each class: the level it asks for in each trie whose node is crowded, from (src, row_id, labels [(key, company at each level)])."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for src, row_id, labels in zip(pdf.src, pdf.row_id, pdf.labels, strict=True):
+                company = np.array([x["company"] for x in labels], np.int64)
+                # the longest prefix with company; alone everywhere: the first level at which it is alone
+                level = np.maximum((company > 1).sum(axis=1) - 1, 0)
+                miss = np.log1p(-(threshold ** (depth + np.arange(LEVELS + 1.0))))
+                others = (trees - len(labels)) * miss[0]
+                at = np.arange(len(labels))
+                while others + miss[level].sum() > math.log1p(-target) and level.any():
+                    more = np.where(level > 0, company[at, level - 1] - company[at, level], np.iinfo(np.int64).max)
+                    k = int(np.argmin(more))
+                    level[k] -= 1
+                out += [(src, row_id, x["key"], int(j)) for x, j in zip(labels, level, strict=True)]
+            yield pd.DataFrame(out, columns=["src", "row_id", "key", "ask"])
+
+    return run
+
+
+def crowded_leaves(crowded: DataFrame, threshold: float, depth: int, trees: int, target: float) -> DataFrame:
+    """(src, row_id, n, s1, s2, level, node): the leaf of each label of ``crowded`` (src, row_id, n, s1, s2, key), labels of crowded nodes."""
+    levels = F.explode(F.array(*(F.struct(F.lit(j).alias("level"), _node(j)) for j in range(LEVELS + 1)))).alias("x")
+    company = crowded.select("src", levels).groupBy("src", "x").agg(F.count("*").alias("company"))
+    each = crowded.select("src", "row_id", "key", levels).join(company, ["src", "x"])
+    labels = each.groupBy("src", "row_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("x.level", "company"))), lambda e: e["company"]).alias("company"))
+    labels = labels.groupBy("src", "row_id").agg(F.collect_list(F.struct("key", "company")).alias("labels"))  # a row's labels: one for each trie
+    asks = labels.mapInPandas(_asks(threshold, depth, trees, target), "src string, row_id long, key long, ask int")
+    leaf = materialise(asks.select("src", "ask", *(F.when(F.col("ask") == j, _node(j)).alias(f"n{j}") for j in range(LEVELS + 1))).select("src", F.col("ask").alias("level"), F.coalesce(*(f"n{j}" for j in range(LEVELS + 1))).alias("node")).distinct(), "leaves")
+    under = crowded.select("src", "row_id", "n", "s1", "s2", "key", levels).select("src", "row_id", "n", "s1", "s2", "key", "x.level", "x.node").join(leaf, ["src", "level", "node"])
+    return under.groupBy("src", "row_id", "key", "n", "s1", "s2").agg(F.min_by(F.struct("level", "node"), "level").alias("x")).select("src", "row_id", "n", "s1", "s2", "x.level", "x.node")
+
+
+def _pairs_within(rows: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """(src, rep_a < rep_b) of the rows (src, row_id, n, s1, s2, and the columns ``on``) that meet and may be alike."""
+    a, b = (rows.select("src", *on, *(F.col(c).alias(f"{c}_{x}") for c in ("row_id", "n", "s1", "s2"))) for x in "ab")
+    far = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    j = a.join(b, ["src", *on]).where((F.col("row_id_a") < F.col("row_id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)) & (far <= _sketch_slack(threshold)))
+    return j.select("src", F.col("row_id_a").alias("rep_a"), F.col("row_id_b").alias("rep_b"))
+
+
+def candidates(node: DataFrame, threshold: float, depth: int, trees: int, target: float, crowd: int) -> DataFrame:
+    """(src, rep_a < rep_b) of classes that share a leaf; node: src, row_id, n, s1, s2, key, a row for each label.
+
+    Most nodes hold one class and end in the aggregate; those of two are pairs already, of which the aggregate has the sketches'
+    difference; only the others are joined, crowded ones by their leaves.
+    """
+    per = materialise(
+        node.groupBy("src", _node(0)).agg(
+            F.count("*").alias("m"), F.min("row_id").alias("rep_a"), F.max("row_id").alias("rep_b"), F.min("n").alias("n1"), F.max("n").alias("n2"), F.bit_xor("s1").alias("x1"), F.bit_xor("s2").alias("x2")
+        ).where("m > 1 and rep_a < rep_b"),
+        "nodes",
+    )
+    close = (F.bit_count("x1") + F.bit_count("x2") <= _sketch_slack(threshold)) & (F.col("n1") >= F.col("n2") * F.lit(threshold))
+    two = per.where((F.col("m") == 2) & close).select("src", "rep_a", "rep_b")
+    here = node.select("src", "row_id", "n", "s1", "s2", "key", _node(0))
+    some = _pairs_within(only_ids(here, per.where((F.col("m") > 2) & (F.col("m") <= crowd)), ["src", "node"]), ["node"], threshold)
+    out = two.unionByName(some)
+    many = per.where(F.col("m") > crowd)
+    if many.limit(1).count():
+        crowded = materialise(only_ids(here, many, ["src", "node"]).drop("node"), "crowded")
+        out = out.unionByName(_pairs_within(crowded_leaves(crowded, threshold, depth, trees, target), ["level", "node"], threshold))
+    return out.distinct()
+
+
 def near_duplicates(
-    texts: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 64, target_recall: float = 0.999
+    texts: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 64, target_recall: float = 0.999, crowd: int = 64
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of ``texts`` (src string, row_id long, text string).
 
@@ -159,41 +241,21 @@ def near_duplicates(
     """
     texts = texts.select("src", F.col("row_id").cast("long").alias("row_id"), "text").where("src is not null and row_id is not null")
     depth = depth_for(threshold, trees, target_recall)
-    while True:
-        sig = materialise(texts.where(F.col("text").isNotNull()).mapInArrow(_signatures(shingle, trees, depth), SIGNATURE), "forest")
-        reps = sig.groupBy("src", "f1", "f2").agg(F.min("row_id").alias("rep"))
-        members = sig.select("src", "row_id", "f1", "f2", "n").join(reps, ["src", "f1", "f2"]).select("src", "row_id", "rep", "n").dropDuplicates()
-        # copies are few beside all rows: taking them out costs less than picking the others
-        copies = members.where("row_id <> rep").select("src", "row_id")
-        node = (
-            sig.where("n > 0").join(copies, ["src", "row_id"], "left_anti")
-            .select("src", "row_id", "n", "s1", "s2", F.explode("keys").alias("key"))
-        )
-        a, b = (node.select(*(F.col(c).alias(f"{c}_{x}") for c in node.columns)) for x in "ab")
-        pairs = materialise(
-            a.join(
-                b,
-                (F.col("key_a") == F.col("key_b")) & (F.col("src_a") == F.col("src_b")) & (F.col("row_id_a") < F.col("row_id_b"))
-                & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold))
-                & (F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= _sketch_slack(threshold)),
-            )
-            .select(F.col("src_a").alias("src"), F.col("row_id_a").alias("rep_a"), F.col("row_id_b").alias("rep_b")).distinct(),
-            "candidates",
-        )
-        ids = pairs.select("src", F.col("rep_a").alias("row_id")).union(pairs.select("src", "rep_b"))
-        wanted = only_ids(texts, ids, ["src", "row_id"])
-        ta = wanted.select("src", F.col("row_id").alias("rep_a"), F.col("text").alias("text_a"))
-        tb = wanted.select("src", F.col("row_id").alias("rep_b"), F.col("text").alias("text_b"))
-        links = (
-            pairs.join(ta, ["src", "rep_a"]).join(tb, ["src", "rep_b"])
-            .mapInPandas(_verify(shingle, threshold), "src string, rep_a long, rep_b long, similarity double").dropDuplicates(["src", "rep_a", "rep_b"])
-        )
-        links = materialise(links, "links")
-        chance = 1 - F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(trees))
-        found, likely = links.agg(F.count("*"), F.sum(1 / chance)).first()
-        if depth == 1 or not found or found / likely >= target_recall - 0.005:
-            return members, links
-        depth -= 1
+    sig = materialise(texts.where(F.col("text").isNotNull()).mapInArrow(_signatures(shingle, trees, depth), SIGNATURE), "forest")
+    reps = sig.groupBy("src", "f1", "f2").agg(F.min("row_id").alias("rep"))
+    members = sig.select("src", "row_id", "f1", "f2", "n").join(reps, ["src", "f1", "f2"]).select("src", "row_id", "rep", "n").dropDuplicates()
+    # copies are few beside all rows: taking them out costs less than picking the others
+    copies = members.where("row_id <> rep").select("src", "row_id")
+    node = sig.where("n > 0").join(copies, ["src", "row_id"], "left_anti").dropDuplicates(["src", "row_id"]).select("src", "row_id", "n", "s1", "s2", F.explode("keys").alias("key"))
+    pairs = materialise(candidates(node, threshold, depth, trees, target_recall, crowd), "candidates")
+    wanted = only_ids(texts, pairs.select("src", F.col("rep_a").alias("row_id")).union(pairs.select("src", "rep_b")), ["src", "row_id"])
+    ta = wanted.select("src", F.col("row_id").alias("rep_a"), F.col("text").alias("text_a"))
+    tb = wanted.select("src", F.col("row_id").alias("rep_b"), F.col("text").alias("text_b"))
+    links = (
+        pairs.join(ta, ["src", "rep_a"]).join(tb, ["src", "rep_b"])
+        .mapInPandas(_verify(shingle, threshold), "src string, rep_a long, rep_b long, similarity double").dropDuplicates(["src", "rep_a", "rep_b"])
+    )
+    return members, materialise(links, "links")
 
 
 def near_duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -140,18 +140,15 @@ def p7_edited(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, window=26, max_edits=2, sample=10)
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs, *spans.long_spans(docs)
-
-
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.span_pairs(*_spans(spark, d))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spans.span_pairs(docs, *spans.long_spans(docs))
 
 
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each document others have, too."""
-    return spans.shared_share(*_spans(spark, d)).drop("n_links")
+    """How much of each document others have, too; without pairs of documents."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spans.shared_share(docs, *spans.shared_spans(docs)).drop("n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,6 +13,10 @@ the whole texts (hashes of all windows of ``least`` characters, then the charact
 
 Equal texts form a class whose first document goes on; classes are expanded into pairs at the end, if pairs are asked for.
 
+Pairs of documents with a span in common are all made where they are the result asked for (``long_spans``). How much of each document is
+shared needs none of them (``shared_spans``): documents meet on their whole windows around common keys, and each window links its
+documents to the first one that has it, so that a passage in N documents gives N links.
+
 Results on special input: null texts, rows without an id and texts below ``least`` characters share nothing. Characters are code points, compared exactly.
 Repeated ids count once. Other columns are not read.
 """
@@ -253,18 +257,45 @@ def _spans(places: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), (places[np.append(cut, len(places) - 1)] + least).tolist(), strict=True))
 
 
+def _matched(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, px: np.ndarray, py: np.ndarray, least: int) -> np.ndarray:
+    """Of the places ``px``: those whose window of characters is in ``y``, compared character by character.
+
+    Windows one after the other that are so in both texts are compared as one stretch; a window that differs at the first place with its hash is tried at the others.
+    """
+    if not len(px) or not len(py):
+        return px[:0]
+    order = py[np.argsort(hy[py], kind="stable")]
+    lo, hi = (np.searchsorted(hy[order], hx[px], side) for side in ("left", "right"))
+    ok = np.zeros(len(px), bool)
+    held = np.flatnonzero(hi > lo)
+    q = order[lo[held]]
+    cut = np.flatnonzero((np.diff(px[held]) != 1) | (np.diff(q) != 1)) + 1
+    for i, j in zip(np.append(0, cut), np.append(cut, len(held)), strict=True):
+        if i < j:
+            p0, q0, n = px[held[i]], q[i], j - i - 1 + least
+            bad = np.cumsum(np.append(0, x[p0 : p0 + n] != y[q0 : q0 + n]))
+            ok[held[i:j]] = bad[least:] == bad[: j - i]
+    for k in np.flatnonzero(~ok & (hi - lo > 1)):
+        w = x[px[k] : px[k] + least]
+        ok[k] = any(np.array_equal(w, y[r : r + least]) for r in order[lo[k] : hi[k]])
+    return px[ok]
+
+
 def _verify(least: int):
+    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows, held, hx, sx = [], None, None, None
-            for a, b, x, y in zip(pdf.rep_a, pdf.rep_b, pdf.text_a, pdf.text_b, strict=True):
+            rows, held, hx, sx, x = [], None, None, None, None
+            for a, b, text_a, text_b in zip(pdf.rep_a, pdf.rep_b, pdf.text_a, pdf.text_b, strict=True):
                 if held != a:
-                    held, hx = a, window_hashes(x, least)
+                    held, hx, x = a, window_hashes(text_a, least), points(text_a)
                     sx = np.sort(hx)
-                hy = window_hashes(y, least)
+                hy, y = window_hashes(text_b, least), points(text_b)
                 py = _places(hy, sx)
                 px = _places(hx, np.sort(hy[py])) if len(py) else py
-                if len(px) and any(x[p : p + least] in y for p in px[[0, -1]].tolist()):
+                px, py = _matched(x, y, hx, hy, px, py, least), _matched(y, x, hy, hx, py, px, least)
+                if len(px):
                     rows.append((a, b, _spans(px, least), _spans(py, least)))
             yield pd.DataFrame(
                 {
@@ -284,7 +315,7 @@ def _meet(node: DataFrame, hot: int | None) -> tuple[DataFrame, DataFrame]:
 
     Most keys are of one document and end in the aggregate; those of two are pairs already; only the rest is joined.
     """
-    per = materialise(node.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep_a"), F.max("doc_id").alias("rep_b")).where("n > 1 and rep_a < rep_b"), "keys")
+    per = _common(node)
     most = F.lit(True) if hot is None else F.col("n") <= hot
     few = only_ids(node, per.where((F.col("n") > 2) & most), "key")
     a, b = few.select(F.col("doc_id").alias("rep_a"), "key"), few.select(F.col("doc_id").alias("rep_b"), "key")
@@ -292,32 +323,58 @@ def _meet(node: DataFrame, hot: int | None) -> tuple[DataFrame, DataFrame]:
     return pairs, per.where(~most).select("key")
 
 
-def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5, hot: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs (doc_id long, text string).
+def _common(node: DataFrame) -> DataFrame:
+    """(key, n, rep_a, rep_b): keys of two documents or more, and the first and last of these."""
+    return materialise(node.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep_a"), F.max("doc_id").alias("rep_b")).where("n > 1 and rep_a < rep_b"), "keys")
 
-    members: doc_id, rep - every document of at least ``least`` bytes and the first one with the same text;
-    links: rep_a < rep_b, spans_a, spans_b - maximal intervals of characters that windows of ``least`` shared characters cover.
-    """
+
+def _keyed(docs: DataFrame, least: int, rounds: int, cover: int, winnow: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, members, (doc_id, key) of the first document of each class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     keyed = materialise(docs.mapInArrow(_keys(rounds, cover, winnow, least), "doc_id long, f1 long, size long, keys array<long>"), "spans")
     reps = keyed.groupBy("f1", "size").agg(F.min("doc_id").alias("rep"))
     members = keyed.select("doc_id", "f1", "size").join(reps, ["f1", "size"]).select("doc_id", "rep").dropDuplicates(["doc_id"])
     # copies are few beside all documents: taking them out costs less than picking the others
-    node = keyed.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    pairs, crowded = _meet(node, hot)
-    if crowded.limit(1).count():
-        # a passage shorter than asked for may be in very many documents: those meet on whole windows instead, which only true cases share
-        keys = only_ids(node, crowded, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-        win = docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(rounds, cover, winnow, least), "doc_id long, key long")
-        pairs = pairs.unionByName(_meet(materialise(win, "windows"), None)[0])
+    return docs, members, keyed.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+
+
+def _whole_windows(docs: DataFrame, node: DataFrame, keys: DataFrame, least: int, rounds: int, cover: int, winnow: int) -> DataFrame:
+    """(doc_id, key): hashes of the whole windows around the places where documents have one of the keys."""
+    held = only_ids(node, keys, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return docs.join(held, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(rounds, cover, winnow, least), "doc_id long, key long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     pairs = materialise(pairs.distinct(), "candidates")
     wanted = only_ids(docs, pairs.select(F.col("rep_a").alias("doc_id")).union(pairs.select("rep_b")), "doc_id")
     ta, tb = (wanted.select(F.col("doc_id").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    links = (
+    return (
         pairs.join(ta, "rep_a").join(tb, "rep_b").select("rep_a", "rep_b", "text_a", "text_b")
         .mapInPandas(_verify(least), f"rep_a long, rep_b long, spans_a {_SPANS}, spans_b {_SPANS}").dropDuplicates(["rep_a", "rep_b"])
     )
-    return members, links
+
+
+def long_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5, hot: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of docs (doc_id long, text string).
+
+    members: doc_id, rep - every document of at least ``least`` bytes and the first one with the same text;
+    links: rep_a < rep_b, spans_a, spans_b - maximal intervals of characters that windows of ``least`` shared characters cover, of every pair that has some.
+    """
+    docs, members, node = _keyed(docs, least, rounds, cover, winnow)
+    pairs, crowded = _meet(node, hot)
+    if crowded.limit(1).count():
+        # a passage shorter than asked for may be in very many documents: those meet on whole windows instead, which only true cases share
+        pairs = pairs.unionByName(_meet(materialise(_whole_windows(docs, node, crowded, least, rounds, cover, winnow), "windows"), None)[0])
+    return members, _verified(docs, pairs, least)
+
+
+def shared_spans(docs: DataFrame, least: int = 400, rounds: int = 6, cover: int = 150, winnow: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The same, with links of each document to the first one that has a window in common with it only: their spans cover all that is shared."""
+    docs, members, node = _keyed(docs, least, rounds, cover, winnow)
+    windows = materialise(_whole_windows(docs, node, _common(node).select("key"), least, rounds, cover, winnow), "windows")
+    first = _common(windows)
+    star = windows.join(first.select("key", "rep_a"), "key").where("doc_id > rep_a").select("rep_a", F.col("doc_id").alias("rep_b"))
+    return members, _verified(docs, star, least)
 
 
 def span_pairs(docs: DataFrame, members: DataFrame, links: DataFrame, least: int = 400) -> DataFrame:

@@ -101,6 +101,59 @@ def test_empty_table(spark):
     assert not got and m.count() == 0 and N.components(m, links).count() == 0
 
 
-def test_prefixes_shorten_for_the_target():
-    assert N.depth_for(0.6, 64, 0.999) == 4 and N.depth_for(0.8, 64, 0.999) > N.depth_for(0.6, 64, 0.999) > N.depth_for(0.6, 64, 0.9999999)
-    assert N.found_chance(0.6, 4, 64) >= 0.999
+def family(seed, n, keep, base=120, edits=9):
+    """Rows that all share ``keep`` of the words of one text, and a few near copies of some of them."""
+    rng = random.Random(seed)
+    stem = [f"s{i}" for i in range(base)]
+    out = []
+    for i in range(n):
+        t = [w if rng.random() < keep else f"r{rng.randrange(10**6)}" for w in stem]
+        out.append(("a", len(out), " ".join(t), None))
+        if i % 4 == 0:
+            u = list(t)
+            for _ in range(rng.randint(1, edits)):
+                u[rng.randrange(base)] = f"r{rng.randrange(10**6)}"
+            out.append(("a", len(out), " ".join(u), None))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+@pytest.mark.parametrize("threshold, k, keep", [(0.6, 3, 0.86), (0.8, 5, 0.93)])
+def test_recall_in_a_family_of_half_alike_rows(spark, threshold, k, keep, crowd):
+    """Everything meets everything at the shortest prefix: leaves are longer, and the recall stays."""
+    rows = family(2, 260, keep, edits=9 if threshold < 0.8 else 3)
+    want = brute(rows, threshold, k)
+    got, _, _ = pairs(spark, rows, threshold, k, crowd=crowd)
+    assert got <= want and len(want) > 40 and len(got) >= 0.99 * len(want)
+
+
+def test_prefixes_shorten_until_each_class_reaches_the_target(spark):
+    from pyspark.sql import functions as F
+
+    rows = family(4, 200, 0.9)
+    depth = N.depth_for(0.6, 64, 0.999)
+    texts = spark.createDataFrame(rows, SCHEMA).select("src", "row_id", "text")
+    node = texts.mapInArrow(N._signatures(3, 64, depth), N.SIGNATURE).select("src", "row_id", "n", "s1", "s2", F.explode("keys").alias("key"))
+    leaves = N.crowded_leaves(node, 0.6, depth, 64, 0.999).collect()
+    used = {}
+    for r in leaves:
+        used.setdefault(r.row_id, []).append(depth + r.level)
+    assert len(leaves) == 64 * len(rows)
+    for d in used.values():  # shortened no further than the target needs, but far enough
+        miss = 1.0
+        for x in d:
+            miss *= 1 - 0.6**x
+        assert 1 - miss >= 0.999
+    longer = sum(x > depth for d in used.values() for x in d)
+    assert 0.05 * len(leaves) < longer < 0.7 * len(leaves)
+    # labels that have much company end up longer than those that have little
+    sizes = {r.node: r.m for r in node.groupBy(N._node(0)).agg(F.count("*").alias("m")).collect()}
+    by = {0: [], 1: []}
+    for r in leaves:
+        by[r.level > 0].append(sizes[r.node >> (N.BITS * r.level) if r.node >= 0 else (r.node % 2**64) >> (N.BITS * r.level)])
+    assert sum(by[1]) / len(by[1]) > sum(by[0]) / len(by[0])
+
+
+def test_prefixes_of_the_target():
+    assert N.depth_for(0.6, 64, 0.999) == 4 and N.depth_for(0.8, 64, 0.999) == 10 and N.depth_for(0.6, 64, 0.9999999) < 4 and N.depth_for(0.1, 64, 0.999) == 1
+    assert N.found_chance(0.6, 4, 64) >= 0.999 > N.found_chance(0.6, 5, 64)

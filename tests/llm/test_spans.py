@@ -60,6 +60,47 @@ def test_equals_brute_force(spark, kind):
     assert run(spark, rows)[0] == brute(rows)
 
 
+def covered(rows, least=400):
+    """Of each document: the characters in windows that another document has, too."""
+    win = {}
+    for d, t in rows:
+        for k in range(len(t or "") - least + 1):
+            win.setdefault(t[k : k + least], []).append((d, k))
+    hit = {d: set() for d, _ in rows}
+    for places in win.values():
+        if len({d for d, _ in places}) > 1:
+            for d, k in places:
+                hit[d].update(range(k, k + least))
+    return {d: len(x) for d, x in hit.items()}
+
+
+@pytest.mark.parametrize("kind", ["words", "letters", "wide", "runs"])
+def test_shares_without_pairs_equal_brute_force(spark, kind):
+    rows = planted(11, kind)
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA)
+    assert {r.doc_id: r.shared_chars for r in S.shared_share(df, *S.shared_spans(df)).collect()} == covered(rows)
+
+
+def test_a_passage_in_many_documents_gives_few_links_for_each(spark):
+    """The first document with a window may be another one where further characters agree by chance."""
+    rng = random.Random(5)
+    common = words(rng, 450)
+    rows = [(i, words(rng, 100) + common + words(rng, 100)) for i in range(80)]
+    df = spark.createDataFrame([(d, t, None) for d, t in rows], SCHEMA)
+    m, links = S.shared_spans(df)
+    assert links.count() <= 4 * 80 and {r.doc_id: r.shared_chars for r in S.shared_share(df, m, links).collect()} == covered(rows)
+    assert {r.doc_id: r.shared_chars for r in S.shared_share(df, *S.long_spans(df)).collect()} == covered(rows)
+
+
+def test_every_window_is_compared_not_its_hash():
+    text = words(random.Random(2), 900)
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    other = text[:450] + "#" + text[451:]
+    h = S.window_hashes(text, 400)
+    got = S._matched(points(text), points(other), h, h.copy(), np.arange(len(h)), np.arange(len(h)), 400)  # hashes that lie
+    assert got.tolist() == [p for p in range(len(h)) if text[p : p + 400] == other[p : p + 400]] and len(got) < len(h)
+
+
 def test_runs_of_one_character(spark):
     rows = [(1, "a" * 1000), (2, "x" + "a" * 400 + "y"), (3, "a" * 399), (4, "b" * 500), (5, "a" * 200 + "tail " * 60), (6, "a" * 900 + "tail " * 60), (7, "q" * 350 + "same end of the text that goes on for a while, longer"), (8, "q" * 600 + "same end of the text that goes on for a while, longer")]
     assert run(spark, rows)[0] == brute(rows)
@@ -72,6 +113,7 @@ def test_awkward_rows_and_shares(spark):
     assert got == {(4, 5), (4, 6), (5, 6)}
     share = {r.doc_id: (r.n_chars, r.shared_chars) for r in S.shared_share(df, m, links).collect()}
     assert share == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (1000, 1000), 5: (1000, 1000), 6: (502, 500), 7: (399, 0)}
+    assert {r.doc_id: (r.n_chars, r.shared_chars) for r in S.shared_share(df, *S.shared_spans(df)).collect()} == share
 
 
 def test_a_short_passage_in_a_third_of_all_documents(spark):
