@@ -52,25 +52,38 @@ class Grammar:
     scanner: re.Pattern
 
     def classes(self, text: str) -> str | None:
-        words, ops = self.words, self.ops
+        return self.classed(self.scanner.findall(text))
+
+    def classed(self, found: list[str]) -> str | None:
+        """The classes of tokens; short tokens are remembered, as most recur."""
+        known = self.__dict__.setdefault("_known", self.ops | self.words)
         out = []
-        for t in self.scanner.findall(text):
-            c = words.get(t) or ops.get(t)
+        for t in found:
+            c = known.get(t)
             if c is None:
-                h = t[0]
-                if h.isspace():
-                    c = self.space(t)
-                elif h == "/" and t[:2] in ("//", "/*"):
-                    c = self.space(t) if "\n" in t and t[1] == "*" else ""
-                elif h.isalpha() or h == "_" or h == "$":
-                    c = "n" if t[-1] in "\"'" else "i"
-                elif h.isdigit() or (h == "." and len(t) > 1) or len(t) > 1 and t[-1] in "\"'`/" or len(t) > 2:
-                    c = "n"
-                else:
+                c = self.token(t)
+                if c is None:
                     return None  # a character that the language doesn't have here
+                if len(t) < 32:
+                    if len(known) > 200_000:
+                        known.clear()
+                        known.update(self.ops | self.words)
+                    known[t] = c
             out.append(c)
         return "".join(out)
 
+    def token(self, t: str) -> str | None:
+        h = t[0]
+        if h.isspace():
+            return self.space(t)
+        if h == "/" and t[:2] in ("//", "/*"):
+            return self.space(t) if "\n" in t and t[1] == "*" else ""
+        if h.isalpha() or h == "_" or h == "$":
+            return "n" if t[-1] in "\"'" else "i"
+        if h.isdigit() or (h == "." and len(t) > 1) or len(t) > 1 and t[-1] in "\"'`/" or len(t) > 2:
+            return "n"
+        return None
+
     def space(self, t: str) -> str:
         return ""
 
@@ -80,9 +93,20 @@ class Grammar:
     def simplify(self, s: str) -> str:
         return s
 
-    def valid(self, text: str) -> bool:
+    def fails_early(self, text: str) -> bool:
+        """Whether the first closed bracket already holds what the language doesn't have there: then the rest need not be read."""
+        first = []
+        for m in self.scanner.finditer(text):
+            first.append(m.group())
+            if first[-1] in (")", "]", "}"):
+                break
+        s = self.classed(first)
+        m = s and INNERMOST.search(s)
+        return s is None or bool(m) and not self.kind(m.group())
+
+    def valid(self, text: str, foreign: bool = False) -> bool:
         t = self.prepare(text)
-        if t is None:
+        if t is None or foreign and self.fails_early(t):
             return False
         s = self.classes(t)
         if not s or not s.strip("N"):
@@ -387,24 +411,22 @@ class Cpp(CFamily):
     )
     _args = re.compile(rf"([ic]|T)<((?:i|t|s|n|,|d|[*&AE]|{P_ANY}|{S_ANY}|=)*)>")
 
+    plain = re.compile(scanner.pattern.replace(rf"(?:u8|[LuU])?R\"([^\s()\\]{{0,16}})\((?s:.*?)\)\1\"|", ""), re.S)
+
     def classes(self, text: str) -> str | None:
         # the scanner has a group for the raw string's delimiter
-        words, ops, out = self.words, self.ops, []
-        for m in self.scanner.finditer(text):
-            t = m.group()
-            c = words.get(t) or ops.get(t)
-            if c is None:
-                h = t[0]
-                if h.isspace() or t[:2] in ("//", "/*") and len(t) > 1:
-                    c = ""
-                elif h.isalpha() or h == "_" or h == "$":
-                    c = "n" if t[-1] in "\"'" else "i"
-                elif h.isdigit() or (h == "." and len(t) > 1) or len(t) > 1 and t[-1] in "\"'":
-                    c = "n"
-                else:
-                    return None
-            out.append(c)
-        return self.simplify("".join(out))
+        s = self.classed([m.group() for m in self.scanner.finditer(text)] if 'R"' in text else self.plain.findall(text))
+        return s and self.simplify(s)
+
+    def token(self, t: str) -> str | None:
+        h = t[0]
+        if h.isspace() or t[:2] in ("//", "/*") and len(t) > 1:
+            return ""
+        if h.isalpha() or h == "_" or h == "$":
+            return "n" if t[-1] in "\"'" else "i"
+        if h.isdigit() or (h == "." and len(t) > 1) or len(t) > 1 and t[-1] in "\"'":
+            return "n"
+        return None
 
     def __init__(self):
         lam = rf"(?:{S_ANY}(?:{P_ANY})?t*(?:\.(?:t|i)+[*&]*)?{B_B})"
@@ -673,12 +695,8 @@ class CSharp(JavaFamily):
     _args = re.compile(rf"(?<=[i.])<(?:i|v|t|,|\?|\.|{S_E}|{P_ANY})*>")
     guarded = {"I": EXPR, "W": EXPR, "S": EXPR, "F": HEADER, "f": HEADER, "y": EXPR | TYPEARG}
 
-    def classes(self, text: str) -> str | None:
-        s = super().classes(text.replace("@$", "$@"))
-        return s
-
     def prepare(self, text: str) -> str | None:
-        return preprocessed(text)
+        return preprocessed(text.replace("@$", "$@"))
 
     def build(self):
         dots = r"i(?:[.d]i)*+"
@@ -763,26 +781,34 @@ class JavaScript(Grammar):
     def space(self, t: str) -> str:
         return "N" if "\n" in t or "\r" in t else ""
 
-    def classes(self, text: str) -> str | None:
-        words, ops, out = self.words, self.ops, []
-        dotted = False
-        for t in self.scanner.findall(text):
-            c = words.get(t) or ops.get(t)
+    def token(self, t: str) -> str | None:
+        h = t[0]
+        if h.isspace():
+            return "n" if t.strip().startswith("/") and len(t.strip()) > 1 else self.space(t)
+        if h == "/" and t[:2] in ("//", "/*"):
+            return self.space(t)
+        if h.isalpha() or h in "_$#":
+            return None if t == "#" else "i"
+        if h.isdigit() or (h == "." and len(t) > 1) or (len(t) > 1 and h in "\"'`/"):
+            return "n"
+        return None
+
+    def classed(self, found: list[str]) -> str | None:
+        known = self.__dict__.setdefault("_known", self.ops | self.words)
+        special = self.ops.keys() | self.words.keys()
+        out, dotted = [], False
+        for t in found:
+            c = known.get(t)
             if c is None:
-                h = t[0]
-                if h.isspace():
-                    c = "n" if t.strip().startswith("/") and len(t.strip()) > 1 else self.space(t)
-                elif h == "/" and t[:2] in ("//", "/*"):
-                    c = self.space(t)
-                elif h.isalpha() or h in "_$#":
-                    if h == "#" and len(t) == 1:
-                        return None
-                    c = "i"
-                elif h.isdigit() or (h == "." and len(t) > 1) or (len(t) > 1 and h in "\"'`/"):
-                    c = "n"
-                else:
+                c = self.token(t)
+                if c is None:
                     return None
-            elif dotted and c.isalpha():
+                if len(t) < 32:
+                    if len(known) > 200_000:
+                        known.clear()
+                        known.update(self.ops | self.words)
+                    known[t] = c
+            elif dotted and c.isalpha() and t in special:
                 c = "i"  # a keyword is a name after a dot
             if c:
                 dotted = c == "." or (dotted and c == "N")
@@ -923,7 +949,7 @@ class JavaScript(Grammar):
 
 
 class Python(Grammar):
-    def valid(self, text: str) -> bool:
+    def valid(self, text: str, foreign: bool = False) -> bool:
         for t in (text, "if 1:\n" + text):
             try:
                 with warnings.catch_warnings():
@@ -960,5 +986,6 @@ def ranked(text: str) -> list[str]:
     return sorted(score, key=lambda k: (-score[k], k))
 
 
-def valid(language: str, text: str) -> bool:
-    return GRAMMARS[language].valid(text)
+def valid(language: str, text: str, foreign: bool = False) -> bool:
+    """Whether the text is valid; ``foreign`` says that it probably isn't, which changes the time it takes only."""
+    return GRAMMARS[language].valid(text, foreign)

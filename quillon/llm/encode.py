@@ -1,7 +1,7 @@
 """Encoding of texts with a public byte-level BPE vocabulary.
 
 Short texts are encoded as they are, in one narrow pass. A text with more than ``cut`` characters is cut into pieces that
-are encoded in parallel on any executor and concatenated again as a tree: where two pieces meet, a window around the join
+are encoded in parallel on any executor and concatenated again as a tree, level by level, the joins of a level on any executor, too: where two pieces meet, a window around the join
 is decoded and encoded again, growing on both sides until its first token equals the left piece's token there and its last
 token the right piece's. A BPE encoding is valid exactly if all adjacent tokens are, so the joined list is then the encoding
 of the whole. The same joining, within one pass, encodes runs without a split point that are longer than ``cut``.
@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import materialise
+
 #: Fixed value: the split pattern that belongs to the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY_DIR = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -185,14 +187,19 @@ def _encode_pieces(path: str, cut: int):
     return run
 
 
+PIECE = "uid long, doc_id long, pos int, piece string, ids array<int>"
+FAN = 8  # neighbouring pieces that one task joins at each level
+
+
 def _join_pieces(path: str):
+    """The pieces of one group, FAN neighbours at most, as one."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(path)
         pdf = pdf.sort_values("pos")
         ids = fold(enc, [(p, [int(x) for x in i]) for p, i in zip(pdf.piece, pdf.ids, strict=True)])
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[:1], "ids": [ids]})
+        return pd.DataFrame({"uid": pdf.uid.iloc[:1], "doc_id": pdf.doc_id.iloc[:1], "pos": pdf.pos.iloc[:1] // FAN, "piece": ["".join(pdf.piece)], "ids": [ids]})
 
     return run
 
@@ -206,10 +213,17 @@ def encode_corpus(texts: DataFrame, vocabulary: str = "byte_bpe_50k", vocabulary
     t = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text") > text_cut, F.lit(False))
     short = t.where(~long).mapInArrow(_encode(path, run_cut), "doc_id long, ids array<int>")
-    pieces = (
+    # long texts are few: the second look at the table reads the texts' lengths, and writes the pieces of those that are
+    pieces = materialise(
         t.where(long).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
         .mapInArrow(_pieces(text_cut // 2), "uid long, doc_id long, pos int, piece string")
-        .repartition("uid", "pos")
-        .mapInArrow(_encode_pieces(path, run_cut), "uid long, doc_id long, pos int, piece string, ids array<int>")
+        .repartition("uid", "pos").mapInArrow(_encode_pieces(path, run_cut), PIECE),
+        "pieces",
     )
-    return short.unionByName(pieces.groupBy("uid").applyInPandas(_join_pieces(path), "doc_id long, ids array<int>"))
+    most = pieces.agg(F.max("pos")).first()[0]
+    if most is None:
+        return short
+    while most > 0:
+        pieces = pieces.groupBy("uid", F.floor(F.col("pos") / FAN).alias("level")).applyInPandas(_join_pieces(path), PIECE)
+        most //= FAN
+    return short.unionByName(pieces.select("doc_id", "ids"))

@@ -1,8 +1,8 @@
 """Source files that do not parse.
 
-Each text is parsed by the grammar of the language it claims; that decides whether it is valid. A text that fails is parsed by
-all other grammars, in the order of how many of its tokens speak for each language: the first success names the language of a
-wrong extension; if every grammar fails, the text is corrupt. Equal texts of a partition's batch are parsed once.
+Each text is parsed by all grammars, in the order of how many of its tokens speak for each language. Whether it is valid is decided by that of
+the language it claims. If that fails, the first other success in that order names the language of a wrong extension; if every grammar
+fails, the text is corrupt. ``accepted`` lists the languages that take the text. Equal texts of a partition's batch are parsed once.
 
 Results on special input: null and blank texts, rows without an id and unknown languages are not judged (no row). Line ends and indentation of the whole do not
 matter. Repeated rows count each. Empty tables give empty results. Other columns are not read.
@@ -22,7 +22,7 @@ from ._grammars import GRAMMARS, ranked, valid
 ENDINGS = {
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "java": "java", "cs": "cs", "js": "js", "mjs": "js", "cjs": "js", "jsx": "js", "py": "py", "pyi": "py",
 }
-SCHEMA = "src string, row_id long, repository string, language string, is_valid boolean, parsed_as string, problem string"
+SCHEMA = "src string, row_id long, repository string, language string, is_valid boolean, parsed_as string, problem string, accepted array<string>"
 
 
 def claimed(extension: Column, file_name: Column) -> Column:
@@ -34,14 +34,12 @@ def claimed(extension: Column, file_name: Column) -> Column:
     return F.try_element_at(langs, e)
 
 
-def judge(language: str, text: str) -> tuple[bool, str | None, str | None]:
-    """(valid, language it parses as, problem: null, 'wrong_extension' or 'corrupt')."""
-    if valid(language, text):
-        return True, language, None
-    for other in ranked(text):
-        if other != language and valid(other, text):
-            return False, other, "wrong_extension"
-    return False, None, "corrupt"
+def judge(language: str, text: str) -> tuple[bool, str | None, str | None, list[str]]:
+    """(valid, language it parses as, problem: null, 'wrong_extension' or 'corrupt', all languages that take it in the order of its tokens)."""
+    accepted = [x for x in ranked(text) if valid(x, text, foreign=x != language)]
+    if language in accepted:
+        return True, language, None, accepted
+    return (False, accepted[0], "wrong_extension", accepted) if accepted else (False, None, "corrupt", accepted)
 
 
 def check_syntax(texts: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def check_syntax(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "src": pdf.src, "row_id": pdf.row_id, "repository": pdf.repository, "language": pdf.language,
-                    "is_valid": [x[0] for x in out], "parsed_as": [x[1] for x in out], "problem": [x[2] for x in out],
+                    "is_valid": [x[0] for x in out], "parsed_as": [x[1] for x in out], "problem": [x[2] for x in out], "accepted": [x[3] for x in out],
                 }
             )
 

@@ -77,6 +77,7 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "src string, row_id long, repository string, language string, text string, problem string")
     got = S.check_syntax(df)
     assert sorted((r.row_id, r.is_valid, r.parsed_as, r.problem) for r in got.collect()) == [(1, True, "c", None), (2, False, "py", "wrong_extension"), (3, False, None, "corrupt"), (7, True, "py", None), (7, True, "py", None)]
+    assert all((r.language in r.accepted) == r.is_valid and (r.parsed_as in r.accepted or not r.accepted) for r in got.collect())
     rates = {(r.repository, r.language): (r.files, r.invalid, r.invalid_share) for r in S.syntax_rates(got).collect()}
     assert rates == {("r", "c"): (3, 2, 0.666667), (None, "py"): (2, 0, 0.0)}
     assert S.check_syntax(df.limit(0)).count() == 0
@@ -88,3 +89,15 @@ def test_claimed_language(spark):
     from pyspark.sql import functions as F
 
     assert all(r.got == r.want for r in df.select("want", S.claimed(F.col("e"), F.col("f")).alias("got")).collect())
+
+
+def test_every_grammar_judges_the_same_read_early_or_not(spark, data):
+    """Each text of the small tables under each grammar: reading only as far as needed changes no verdict."""
+    from quillon.llm import _grammars as G
+
+    texts = [r[0] for t, c in (("primevul_raw", "func"), ("cleanvul_raw", "func_before")) for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).collect() if r[0]]
+    texts += ["int f(struct a *b)\n{\n    return b->c;\n}\n", "public int f(Map<String, int[]> m) { return m.get(0)[1]; }", "const f = async (a, ...b) => { return a ?? b[0]; };", "def f(a, *b):\n    return {x: 1 for x in b}\n", 'auto s = R"x(a)b)x";', "/* ( */ int g(void) { return 0; }", "", "(", ")"]
+    assert len(texts) > 20
+    for t in texts:
+        for lang in G.GRAMMARS:
+            assert G.valid(lang, t) == G.valid(lang, t, foreign=True), (lang, t)
