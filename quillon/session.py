@@ -65,9 +65,11 @@ def _drop_made() -> None:
             pass
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], bound: int = 1_000_000) -> DataFrame:
-    """``rows`` whose ``key`` is among the distinct ``ids``: by a broadcast of at most ``bound`` ids, counted first, else by a shuffled semi-join."""
+def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], most_bytes: int = 48 << 20) -> DataFrame:
+    """``rows`` whose ``key`` is among the distinct ``ids``: by a broadcast if these take at most ``most_bytes``, counted first, else by a shuffled semi-join."""
     ids = ids.select(*([key] if isinstance(key, str) else key)).distinct()
+    each = 16 + sum(32 if t == "string" else 8 for _, t in ids.dtypes)  # a row as it is sent; strings here are names of tables
+    bound = most_bytes // each
     if ids.limit(bound + 1).count() <= bound:
         ids = F.broadcast(ids)
     return rows.join(ids, key, "left_semi")
