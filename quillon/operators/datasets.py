@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import normalise as N
 from quillon.functions.text import order_key, strip
+from quillon.session import materialise
 
 
 def pair_split(df: DataFrame, row_id: str, vulnerable: Column, fixed: Column, carry: list[str], prefix: str) -> DataFrame:
@@ -95,12 +99,43 @@ def limited(df: DataFrame, mode: str, n: int, order: str, group: str | None = No
     raise ValueError(f"unknown limit mode {mode!r}")
 
 
-def within_budget(samples: DataFrame, system: Column, user: Column, context: Column, max_output: Column, reserve: int = 200) -> DataFrame:
-    """Samples whose prompt fits: tokens <= context - output - reserve, at a token for four characters."""
-    text = F.concat(system, F.lit("\n"), user)
-    tokens = F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
-    budget = context - max_output - reserve
-    return samples.withColumn("prompt_tokens", tokens).withColumn("budget", budget).where((F.col("budget") > 0) & (F.col("prompt_tokens") <= F.col("budget")))
+def tokens_by_length(text: Column) -> Column:
+    """A token for four characters, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
+
+
+def tokens_counted_by(open_counter: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """Token counts by a tokenizer that each worker opens once, in Arrow batches; null counts as empty."""
+    from pyspark.sql.types import LongType
+
+    held: list = []
+
+    @F.pandas_udf(LongType())
+    def count(text: pd.Series) -> pd.Series:
+        if not held:
+            held.append(open_counter())
+        return text.fillna("").map(held[0]).astype("int64")
+
+    return count
+
+
+def within_budget(
+    samples: DataFrame, system: Column, user: Column, context: Column, max_output: Column, reserve: int = 200, tokens: Callable[[Column], Column] = tokens_by_length
+) -> DataFrame:
+    """Samples whose prompt fits: tokens <= context - output - reserve. A budget of 0 or less filters nothing."""
+    count = tokens(F.concat(system, F.lit("\n"), user))
+    out = samples.withColumn("prompt_tokens", count).withColumn("budget", context - max_output - reserve)
+    return out.where((F.col("budget") <= 0) | (F.col("prompt_tokens") <= F.col("budget")))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``_i``, their positions from 0 in ``order``, which must be unique: from the counts of its ranges, so that no task gets all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = materialise(rows.repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id()), "ranges")  # bounds are sampled: fix them once
+    r = r.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order)))
+    n = r.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    before = n.select("_p", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_first")) - F.col("_n")).alias("_before"))  # a row per partition
+    return r.join(before, "_p").withColumn("_i", F.col("_before") + F.col("_i") - 1).drop("_p", "_before")
 
 
 def metadata_of(samples: DataFrame, keys: list[str]) -> DataFrame:

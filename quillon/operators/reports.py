@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import metrics as M
 from quillon.functions.metrics import ratio
+from quillon.functions.parse import BINARY_TASKS
 
 
 def label_pairs(predictions: DataFrame, keys: list[str], true: str, pred: str) -> DataFrame:
@@ -69,3 +71,29 @@ def footer(table: DataFrame, name: str, columns: list[str], lower_is_better: tup
         )).alias("r"),
     )
     return rows.select(f"r.{name}", "metric", F.round("r.v", digits).alias("v")).groupBy(name).pivot("metric", columns).agg(F.first("v"))
+
+
+def calculator_for(task_type: str, task: str | None = None) -> str:
+    """Which metrics a task has: 'code' for tasks 3 to 5 of the five-task source, else by its type."""
+    if task in ("task3", "task4", "task5"):
+        return "code"
+    return "binary" if task_type in BINARY_TASKS else "multiclass"
+
+
+def metric_summary(predictions: DataFrame, keys: list[str], task_type: str, task: str | None = None, digits: int = 6) -> DataFrame:
+    """(keys, metric, value) of predictions (keys, true, pred as strings) by the metrics of their task. Null labels: 'UNKNOWN' for classes, no text for code; left out of binary ones."""
+    kind = calculator_for(task_type, task)
+    if kind == "code":
+        recall = (M.token_recall if task == "task3" else M.line_recall)(F.coalesce("pred", F.lit("")), F.coalesce("true", F.lit("")))
+        names = ("macro_token_recall", "micro_token_recall", "accuracy") if task == "task3" else ("avg_line_recall", "avg_union_line_recall", "accuracy")
+        m = predictions.groupBy(*keys).agg(F.count("*").cast("double").alias("total_predictions"), F.avg(recall).alias("_r")).select(*keys, "total_predictions", *(F.col("_r").alias(n) for n in names))
+    elif kind == "binary":
+        t, p = M.binary_label(F.col("true")), M.binary_label(F.col("pred"))
+        m = M.with_metrics(predictions.groupBy(*keys).agg(*M.confusion_counts(t, p)), ["accuracy", "precision", "recall", "f1", "specificity"]).withColumnRenamed("f1", "f1_score").drop(*M.COUNTS)
+    else:
+        x = predictions.withColumn("true", F.coalesce("true", F.lit("UNKNOWN"))).withColumn("pred", F.coalesce(F.nullif("pred", F.lit("")), F.lit("UNKNOWN")))
+        c = label_pairs(x, keys, "true", "pred")
+        macro = macro_weighted(class_report(c, keys), c, keys)
+        m = macro.select(*keys, "accuracy", "macro_precision", "macro_recall", F.col("macro_f1").alias("macro_f1_score"))
+    names = [c for c in m.columns if c not in keys]
+    return m.select(*keys, F.expr(f"stack({len(names)}, {', '.join(f"'{n}', round(cast({n} as double), {digits})" for n in names)}) as (metric, value)"))

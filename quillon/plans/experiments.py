@@ -32,7 +32,6 @@ def score(samples: DataFrame, task: str, system: str, template: str, open_backen
     if limit:
         s = s.orderBy("id").limit(limit)
     asked = votes.expand_draws(s.select("id", F.col("label").alias("true_label"), "system", "user"), draws)
-    asked = asked.withColumn("user", F.when(F.col("pass_idx") == 0, F.col("user")).otherwise(F.concat("user", F.lit("\n"), F.format_string("(draw %d)", F.col("pass_idx")))))
     answered = materialise(inference.infer(asked, open_backend), "draws")
     parser = parse.parser_for(task)
     labelled = answered.withColumn("label", F.when(F.col("_error").isNull(), parser(F.col("response_text")).cast("string")))

@@ -71,7 +71,7 @@ def sampling_parameters(supported: set[str], **values) -> tuple[dict, list[str]]
 
 
 def infer(prompts: DataFrame, open_backend: Callable[[], Backend], system: str = "system", user: str = "user", chunk: int = 256) -> DataFrame:
-    """``prompts`` with the answer of each: a chunk's wall time is shared equally, a failure sets ``_error`` and leaves the answer null.
+    """``prompts`` with the answer of each: a chunk's wall time is shared equally, a failure sets ``_error`` and makes the answer ``ERROR: `` and its message.
 
     Write the result out before working on it: nothing behind it then runs the model again.
     """
@@ -88,7 +88,7 @@ def infer(prompts: DataFrame, open_backend: Callable[[], Backend], system: str =
                     except Exception as e:  # noqa: BLE001 - a failed chunk must not fail the job
                         got, error = [{}] * len(part), f"{type(e).__name__}: {e}"
                     each = (time.perf_counter() - began) / max(1, len(part))
-                    part["response_text"] = [g.get("response_text") for g in got]
+                    part["response_text"] = [g.get("response_text") if error is None else f"ERROR: {error}" for g in got]
                     part["tokens_used"] = [int(g.get("tokens_used") or 0) for g in got]
                     part["duration"] = each
                     part["confidence"] = pd.Series([g.get("confidence") for g in got], index=part.index, dtype="float64")

@@ -81,11 +81,11 @@ def src_json_array(spark, d):
     return readers.json_array(spark, f"{q}/*", "id string, label string").groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(nullif(func_hash, ''), 'none') AS id, CASE WHEN target = 1 THEN true ELSE false END AS vulnerable, nullif(regexp_extract(cwe[1], 'CWE-\\d+'), '') AS cwe, length(regexp_replace(replace(replace(func, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))::bigint AS n FROM primevul_raw WHERE func IS NOT NULL AND NOT regexp_matches(func, '/\\*\\s*\\n')")
+@query("SELECT coalesce(nullif(func_hash, ''), 'none') AS id, CASE WHEN target = 1 THEN true ELSE false END AS vulnerable, nullif(regexp_extract(cwe[1], 'CWE-\\d+'), '') AS cwe, length(regexp_replace(regexp_replace(replace(replace(func, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '/[*]\\s*\\n.*?[*]/\\s*\\n', '', 'gs'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))::bigint AS n FROM primevul_raw WHERE func IS NOT NULL")
 def src_annotated_files(spark, d):
     """Functions as files with a comment header, one folder each, and read by the reader of annotated files."""
     p = _folder(spark)
-    t = table(spark, d, "primevul_raw").where(F.col("func").isNotNull() & ~F.col("func").rlike(r"/\*\s*\n"))
+    t = table(spark, d, "primevul_raw").where("func is not null")
     head = F.concat(F.lit("/*\nname: "), F.coalesce(F.nullif(F.col("func_hash"), F.lit("")), F.lit("none")), F.lit("\nvulnerable: "), F.when(F.col("target") == 1, "true").otherwise("false"), F.lit("\ncwe: "), F.coalesce(F.try_element_at("cwe", F.lit(1)), F.lit("")), F.lit("\n*/\n"))
     body = F.regexp_replace("func", "\r\n?", "\n")
     _write_files(t.select("row_id", F.concat(head, body).alias("value")), p, "f.c")
@@ -232,9 +232,37 @@ def snk_report_json(spark, d):
     return spark.read.schema("accuracy double, f1 double, run_id string").json(p)
 
 
-@query("SELECT DISTINCT 'Do you know ' || cve || '?' AS prompt FROM primevul_raw WHERE cve LIKE 'CVE-%'")
+@query("SELECT DISTINCT cve AS id, 'Do you know ' || cve || '?' AS prompt FROM primevul_raw WHERE cve LIKE 'CVE-%'")
 def snk_contamination_prompts(spark, d):
-    return table(spark, d, "primevul_raw").where("cve like 'CVE-%'").select(F.format_string("Do you know %s?", "cve").alias("prompt")).distinct()
+    p = _folder(spark)
+    writers.contamination_prompts(table(spark, d, "primevul_raw").where("cve like 'CVE-%'").select(F.col("cve").alias("id"), F.format_string("Do you know %s?", "cve").alias("prompt")).distinct(), p)
+    return spark.read.schema("id string, prompt string").json(p)
+
+
+@query(f"WITH {PRED}, c AS (SELECT run_id, min(experiment_name) AS experiment_name, {cells()} FROM pred GROUP BY run_id) SELECT experiment_name, row_number() OVER (ORDER BY run_id)::int - 1 AS position, {metric_sql(('accuracy',))} FROM c")
+def snk_plan_result(spark, d):
+    """The result file of a plan with an experiment for each run, written and read again."""
+    from pyspark.sql import Window as W
+
+    p = _folder(spark)
+    m = experiments.binary_metrics(predictions(spark, d), ["run_id", "experiment_name"]).withColumn("position", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("run_id")) - 1)  # a row per run
+    info, metrics = F.struct("experiment_name").alias("benchmark_info"), F.struct(F.round("accuracy", 6).alias("accuracy")).alias("metrics")
+    writers.plan_result(m.select("position", info, metrics, F.lit(True).alias("is_success")), p, "all runs")
+    return readers.plan_results(spark, p).select("experiment_name", "position", "accuracy")
+
+
+@query(f"WITH {PRED}, c AS (SELECT run_id, model_name, backend, {cells()}, count(*) AS n, avg(tokens_used) AS tok FROM pred GROUP BY ALL) SELECT backend AS source, model_name, sum(tp)::bigint AS tp, sum(tn)::bigint AS tn, sum(fp)::bigint AS fp, sum(fn)::bigint AS fn, round(sum(tok * n), 2) AS tokens_total, count(*) AS n_runs FROM c GROUP BY ALL")
+def src_metrics_summaries(spark, d):
+    """Metrics summaries in folders whose names tell the source; runs of a model and source are summed."""
+    from quillon.functions.metrics import confusion_counts
+
+    p = _folder(spark)
+    c = predictions(spark, d).groupBy("run_id", "model_name", "backend").agg(*confusion_counts(F.when(F.col("ok"), F.col("t")), F.when(F.col("ok"), F.col("p"))), F.count("*").alias("n"), F.avg("tokens_used").alias("tok"))
+    cm = F.struct(F.col("tp").alias("true_positives"), F.col("tn").alias("true_negatives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"))
+    doc = F.struct(F.struct(F.struct("model_name").alias("model"), F.struct(F.col("n").alias("total_samples"), F.col("tok").alias("tokens_used_avg")).alias("stats")).alias("benchmark_info"), F.struct(F.struct(cm.alias("confusion_matrix")).alias("details")).alias("metrics"))
+    _write_files(c.select(F.concat("backend", F.lit("_experiments/plan/"), "run_id", F.lit("/step_by_step")).alias("row_id"), F.to_json(doc).alias("value")), p, "metrics_summary_1.json")
+    r = readers.metrics_summaries(spark, p, {"source": r"/([^/]+)_experiments/"})
+    return r.groupBy("source", "model_name").agg(*(F.sum(x).alias(x) for x in ("tp", "tn", "fp", "fn")), F.round(F.sum(F.col("tokens_used_avg") * F.col("total_samples")), 2).alias("tokens_total"), F.count("*").alias("n_runs"))
 
 
 _CONFIG = {
@@ -269,12 +297,32 @@ def orc_run_plan(spark, d):
     return experiments.summary(spark, experiments.run_plan(spark, [("old", works), ("works", works), ("fails", fails)], {"old"}))
 
 
-@query("SELECT row_id, coalesce(tokens_used, 0)::bigint AS tokens, starts_with(coalesce(response_text, ''), 'ERROR: ') AS failed FROM prediction_results")
+class _Refusing(inference.StubBackend):
+    """The stand-in, failing on prompts that hold a goto."""
+
+    def infer_batch(self, prompts):
+        if any("goto" in user for _, user in prompts):
+            raise RuntimeError("no goto")
+        return super().infer_batch(prompts)
+
+
+def _inferred(spark, d, chunk: int):
+    s = table(spark, d, "primevul_raw").where("func is not null").select("row_id", F.lit("Look.").alias("system"), F.col("func").alias("user"))
+    return inference.infer(s, _Refusing, chunk=chunk)
+
+
+@query(
+    """SELECT row_id, contains(func, 'goto') AS failed, CASE WHEN contains(func, 'goto') THEN 'ERROR: RuntimeError: no goto' ELSE 'The code was looked at once.' || chr(10) || '[[FINAL_ANSWER: ' || CASE WHEN left(md5('0|Look.|' || func), 1) < '8' THEN 'VULNERABLE' ELSE 'SAFE' END || ']]' END AS response_text,
+        CASE WHEN contains(func, 'goto') THEN 0 ELSE greatest(1, length(func) // 4) + CASE WHEN left(md5('0|Look.|' || func), 1) < '8' THEN 57 ELSE 51 END // 4 END::bigint AS tokens FROM primevul_raw WHERE func IS NOT NULL"""
+)
 def inf_usage_and_failures(spark, d):
-    x = table(spark, d, "prediction_results")
-    return x.select("row_id", F.coalesce("tokens_used", F.lit(0)).alias("tokens"), F.coalesce(F.col("response_text").startswith("ERROR: "), F.lit(False)).alias("failed"))
+    """Answers, their tokens and failures of the stand-in backend, one prompt at a time."""
+    return _inferred(spark, d, 1).select("row_id", F.col("_error").isNotNull().alias("failed"), "response_text", F.col("tokens_used").alias("tokens"))
 
 
-@query("SELECT run_id, sample_id, round(sum(processing_time) / count(*), 6) AS share FROM prediction_results GROUP BY ALL")
+@query("SELECT count(*) AS prompts, true AS shared_equally FROM primevul_raw WHERE func IS NOT NULL")
 def inf_duration_share(spark, d):
-    return table(spark, d, "prediction_results").groupBy("run_id", "sample_id").agg(F.round(F.sum("processing_time") / F.count("*"), 6).alias("share"))
+    """The prompts of a chunk share its time equally: no more different times than chunks."""
+    x = _inferred(spark, d, 16).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("duration").alias("times"), F.min("duration").alias("least"))
+    ok = (F.col("times") <= F.ceil(F.col("n") / 16) + 1) & (F.col("least") >= 0)
+    return x.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("prompts"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("shared_equally"))

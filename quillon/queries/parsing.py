@@ -221,12 +221,12 @@ _HEAD = "'/*' || chr(10) || 'name: ' || func_hash || chr(10) || ' cwe : ' || coa
 
 
 @query(
-    f"""SELECT row_id, nullif(func_hash, '') AS name, nullif(cwe[1], '') AS cwe, CASE WHEN contains(func, chr(10)) THEN 6 + 0 END AS second_line, md5({_strip('func')}) AS code_digest
-    FROM primevul_raw WHERE func IS NOT NULL AND {_strip('func')} <> '' AND func_hash IS NOT NULL AND func_hash <> '' AND NOT regexp_matches(func, '/\\*\\s*\\n')"""
+    f"""SELECT row_id, nullif(func_hash, '') AS name, nullif(cwe[1], '') AS cwe, CASE WHEN contains(func, chr(10)) THEN 6 + 0 END AS second_line, md5({_strip("regexp_replace(func, '/[*]\\s*\\n.*?[*]/\\s*\\n', '', 'gs')")}) AS code_digest
+    FROM primevul_raw WHERE func IS NOT NULL AND {_strip('func')} <> '' AND func_hash IS NOT NULL AND func_hash <> ''"""
 )
 def nrm_header(spark, d):
-    """Comment headers put before each function are read and taken off again."""
-    p = table(spark, d, "primevul_raw").where(F.col("func_hash").isNotNull() & (F.col("func_hash") != "") & (strip(F.col("func")) != "") & ~F.col("func").rlike(r"/\*\s*\n"))
+    """Comment headers put before each function are read and taken off again, with any such blocks that the function has itself."""
+    p = table(spark, d, "primevul_raw").where(F.col("func_hash").isNotNull() & (F.col("func_hash") != "") & (strip(F.col("func")) != ""))
     text = F.concat(F.lit("/*\nname: "), F.col("func_hash"), F.lit("\n cwe : "), F.coalesce(F.try_element_at("cwe", F.lit(1)), F.lit("")), F.lit("\n*/\n"), F.regexp_replace("func", r"(?s)^([^\n]*\n)", "$1{!LINE}"))
     marked = N.marker_line(text, "{!LINE}")
     plain = F.regexp_replace(N.without_headers(text), r"\{!LINE\}", "")
@@ -286,7 +286,7 @@ def flt_target_class(spark, d):
 @query(
     """WITH q AS (SELECT p.row_id, greatest(1, length(coalesce(system_prompt, '') || chr(10) || replace(user_prompt_template, '{code}', coalesce(s.code, ''))) // 4)::bigint AS prompt_tokens, r.context_length - r.max_output_tokens - 200 AS budget
         FROM prediction_results p JOIN runs r USING (run_id) JOIN prompts USING (prompt_id) JOIN (SELECT id, min(code) AS code FROM samples GROUP BY id) s ON s.id = p.sample_id)
-    SELECT row_id, prompt_tokens, budget FROM q WHERE budget > 0 AND prompt_tokens <= budget"""
+    SELECT row_id, prompt_tokens, budget FROM q WHERE budget <= 0 OR prompt_tokens <= budget"""
 )
 def flt_token_budget(spark, d):
     s = table(spark, d, "samples").groupBy(F.col("id").alias("sample_id")).agg(F.min("code").alias("code"))
@@ -356,11 +356,41 @@ def prj_map_with_fallback(spark, d):
     return table(spark, d, "runs").select("run_id", F.coalesce(F.try_element_at(names, F.col("backend")), "backend").alias("kind"))
 
 
-@query("SELECT p.row_id, md5(replace(user_prompt_template, '{code}', coalesce(s.code, ''))) AS digest FROM prediction_results p JOIN runs USING (run_id) JOIN prompts USING (prompt_id) JOIN (SELECT id, min(code) AS code FROM samples GROUP BY id) s ON s.id = p.sample_id")
+_QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
+_LEGACY = (
+    "- Respond with only VULNERABLE or SAFE, please", "Response Format: Respond with only one word", "  final answer: After your analysis, respond with the class", "Your answer should either be 'YES' or \"NO\" only.",
+    "Output 'A.' or 'B.' or 'C.' or 'D.' or 'E.' only", "Reply with one word", "Output 'A.' only",
+)
+# lines of a template without redundant ones; of blank lines one after the other the first
+_KEPT = "list_filter(regexp_split_to_array({0}, '\r\n|\n|\r'), lambda x: NOT (" + " OR ".join(f"regexp_matches(x, {_QUOTE('(?i)' + p)})" for p in T.REDUNDANT) + "))"
+_CLEAN = r"regexp_replace(array_to_string(list_filter(kept, lambda x, i: trim(x) <> '' OR i = 1 OR trim(kept[i - 1]) <> ''), chr(10)), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    f"""WITH l(line) AS (VALUES {', '.join(f'({_QUOTE(x)})' for x in _LEGACY)}), t AS (SELECT prompt_id, line, {_KEPT.format("line || chr(10) || user_prompt_template || chr(10) || chr(10) || '  ' || chr(10) || chr(10) || 'End.' || chr(10) || line || chr(10)")} AS kept FROM prompts, l)
+    SELECT prompt_id, line, {_CLEAN} AS cleaned FROM t"""
+)
+def prj_prompt_clean(spark, d):
+    """Templates with older answer-format lines before and behind them, of which all but the last two go, and with blank lines."""
+    p = table(spark, d, "prompts").select("prompt_id", "user_prompt_template", F.explode(F.array(*(F.lit(x) for x in _LEGACY))).alias("line"))
+    text = F.concat("line", F.lit("\n"), "user_prompt_template", F.lit("\n\n  \n\nEnd.\n"), "line", F.lit("\n"))
+    return p.select("prompt_id", "line", T.clean_column(text).alias("cleaned"))
+
+
+_CONTRACT = "CASE task_type " + " ".join(f"WHEN {_QUOTE(t)} THEN {_QUOTE(T.contract(t))}" for t in T.CONTRACT_OF) + " ELSE '' END"
+
+
+@query(
+    f"""WITH t AS (SELECT prompt_id, {_KEPT.format('user_prompt_template')} AS kept FROM prompts), c AS (SELECT prompt_id, {_CLEAN} AS template FROM t)
+    SELECT p.row_id, md5(replace(c.template, '{{code}}', coalesce(s.code, '')) || {_CONTRACT}) AS digest FROM prediction_results p JOIN runs USING (run_id) JOIN c USING (prompt_id) JOIN (SELECT id, min(code) AS code FROM samples GROUP BY id) s ON s.id = p.sample_id"""
+)
 def prj_prompt_render(spark, d):
+    """Whole prompts: the cleaned template of the run's prompt, the sample's code in it, the contract of the run's task behind it."""
     s = table(spark, d, "samples").groupBy(F.col("id").alias("sample_id")).agg(F.min("code").alias("code"))
-    x = table(spark, d, "prediction_results").select("row_id", "run_id", "sample_id").join(table(spark, d, "runs").select("run_id", "prompt_id"), "run_id").join(table(spark, d, "prompts"), "prompt_id").join(s, "sample_id")
-    return x.select("row_id", F.md5(T.render_column(F.col("user_prompt_template"), F.col("code"))).alias("digest"))
+    prompts = table(spark, d, "prompts").select("prompt_id", T.clean_column(F.col("user_prompt_template")).alias("template"))
+    runs = table(spark, d, "runs").select("run_id", "prompt_id", T.contract_column(F.col("task_type")).alias("contract"))
+    x = table(spark, d, "prediction_results").select("row_id", "run_id", "sample_id").join(runs, "run_id").join(prompts, "prompt_id").join(s, "sample_id")
+    return x.select("row_id", F.md5(F.concat(T.render_column(F.col("template"), F.col("code")), "contract")).alias("digest"))
 
 
 # ---- conversions of whole sources, over adapted tables ----
@@ -395,12 +425,12 @@ def nrm_typed_source(spark, d):
 @query(
     f"""WITH x AS (SELECT row_id, {_strip("coalesce(func_before, '')")} AS code, is_test, coalesce(nullif(regexp_extract({_U}, 'CWE-\\d+'), ''), 'CWE-' || nullif(regexp_extract({_U}, '\\b(\\d+)\\b', 1), '')) AS c FROM cleanvul_raw)
     SELECT t AS task, concat_ws('_', 'task', t, row_id) AS id, CASE WHEN t = 'task1' THEN CASE WHEN upper(coalesce(is_test, '')) = 'YES' THEN '1' ELSE '0' END ELSE coalesce(is_test, '') END AS label, coalesce(c, '') AS cwe,
-        {_HML("regexp_replace(c, '^CWE-', '')", N.SEVERITY_BY_CWE_FIVE_TASKS['high'], N.SEVERITY_BY_CWE_FIVE_TASKS['medium'], ('high', 'medium', 'low'))} AS severity FROM x, (VALUES ('task1'), ('task2')) v(t) WHERE code <> ''"""
+        {_HML("regexp_replace(c, '^CWE-', '')", N.SEVERITY_BY_CWE_FIVE_TASKS['high'], N.SEVERITY_BY_CWE_FIVE_TASKS['medium'], ('high', 'medium', 'low'))} AS severity FROM x, (VALUES ('task1'), ('task2'), ('task3'), ('task4'), ('task5')) v(t) WHERE code <> ''"""
 )
 def nrm_five_task_source(spark, d):
     x = table(spark, d, "cleanvul_raw").select(F.col("row_id").alias("idx"), F.col("func_before").alias("code"), F.col("is_test").alias("answer"), F.col("cwe_id").alias("cwe"))
     out = None
-    for task in ("task1", "task2"):
+    for task in ("task1", "task2", "task3", "task4", "task5"):
         one = S.five_tasks(x, task).select(F.lit(task).alias("task"), "id", "label", F.array_join("cwe_types", ",").alias("cwe"), "severity")
         out = one if out is None else out.unionByName(one)
     return out
@@ -420,3 +450,23 @@ def nrm_token_source(spark, d):
 def nrm_function_pairs(spark, d):
     x = table(spark, d, "cleanvul_raw").select("row_id", F.col("func_before").alias("vulnerable_function_body"), F.col("func_after").alias("non_vulnerable_function_body"), F.col("commit_msg").alias("call_graph"), F.col("cwe_id").alias("cwe"))
     return S.function_pairs(x, "row_id", call_graph=True).select("id", "label", F.md5("code").alias("digest"), "severity")
+
+
+@query(
+    f"""WITH x AS (SELECT row_id, {_strip("coalesce(func_before, '')")} AS code, coalesce(nullif(cve_id, ''), '') AS given, vulnerability_score FROM cleanvul_raw), k AS (SELECT *, row_number() OVER (ORDER BY row_id) AS n FROM x WHERE code <> '')
+    SELECT CASE WHEN given <> '' THEN given ELSE 'cleanvul-' || n END AS id, CASE WHEN coalesce(vulnerability_score, 0) > 0 THEN 1 ELSE 0 END AS label, md5(code) AS digest FROM k"""
+)
+def nrm_matched_entries(spark, d):
+    """Matched entries: blank code gives none, entries without an id get the running number of the sample."""
+    x = table(spark, d, "cleanvul_raw").select("row_id", F.col("func_before").alias("func_code"), F.col("cve_id").alias("sample_id"), (F.coalesce("vulnerability_score", F.lit(0)) > 0).alias("is_vulnerable"))
+    return S.matched(x, "row_id").select("id", "label", F.md5("code").alias("digest"))
+
+
+@query(
+    f"""WITH v AS (SELECT 'before' AS variant, row_id, func_before AS code FROM cleanvul_raw UNION ALL SELECT 'after', row_id, func_after FROM cleanvul_raw), k AS (SELECT variant, row_id, {_strip('code')} AS code FROM v WHERE coalesce({_strip('code')}, '') <> '')
+    SELECT variant, row_id, length(code)::bigint AS n FROM k UNION ALL SELECT * FROM (SELECT 'smoke', row_id, length(code)::bigint FROM k WHERE variant = 'before' ORDER BY length(code), row_id LIMIT 1)"""
+)
+def nrm_variants(spark, d):
+    """Each variant of a source as a dataset of its own, and the smoke dataset: the shortest sample of the first variant."""
+    c = table(spark, d, "cleanvul_raw")
+    return S.variants(c, {"before": F.col("func_before"), "after": F.col("func_after")}, "row_id", smoke_of="before").select("variant", "row_id", F.length("code").cast("long").alias("n"))

@@ -67,20 +67,70 @@ def agg_prevalence(spark, d):
 _J = "json_extract_string(metadata, '$.{0}')"
 
 
-@query(
-    f"""SELECT 'label' AS section, coalesce(label, '(null)') || '.n' AS key, count(*)::double AS value FROM samples GROUP BY label
+_BASIC = f"""SELECT 'label' AS section, coalesce(label, '(null)') || '.n' AS key, count(*)::double AS value FROM samples GROUP BY label
     UNION ALL SELECT 'language', coalesce({_J.format('programming_language')}, '(null)') || '.n', count(*)::double FROM samples GROUP BY {_J.format('programming_language')}
-    UNION ALL SELECT 'cwe', coalesce(cwe_types[1], '(null)') || '.n', count(*)::double FROM samples GROUP BY cwe_types[1]"""
-)
+    UNION ALL SELECT 'cwe', coalesce(c, '(null)') || '.n', count(*)::double FROM (SELECT unnest(CASE WHEN cwe_types IS NULL OR len(cwe_types) = 0 THEN [NULL] ELSE cwe_types END) AS c FROM samples) GROUP BY c
+    UNION ALL SELECT 'samples', 'all.' || m, v FROM (SELECT unnest(['total', 'unique_labels']) AS m, unnest([count(*)::double, (count(DISTINCT label) + max((label IS NULL)::int))::double]) AS v FROM samples)
+    UNION ALL SELECT 'code_length', 'all.' || m, v FROM (SELECT unnest(['n', 'mean', 'min', 'max', 'median', 'std']) AS m, unnest([count(code)::double, round(avg(length(code)), 4), min(length(code))::double, max(length(code))::double, round(quantile_cont(length(code), 0.5), 4), round(stddev_samp(length(code)), 4)]) AS v FROM samples)"""
+_BALANCE = "SELECT 'balance' AS section, coalesce(label, '(null)') || '.' || m AS key, v AS value FROM (SELECT label, unnest(['n', 'percent', 'imbalance']) AS m, unnest([n::double, round(n * 100.0::double / sum(n) OVER (), 4), round(max(n) OVER ()::double / min(n) OVER (), 4)]) AS v FROM (SELECT label, count(*) AS n FROM samples GROUP BY 1))"
+
+
+@query(_BASIC)
 def prf_basic_stats(spark, d):
+    """Totals, lengths and the distributions of labels, languages and classes, missing ones as a value."""
+    return P.long_report(_basic(spark, d))
+
+
+def _basic(spark, d):
     s = table(spark, d, "samples")
-    parts = {"label": F.col("label"), "language": F.get_json_object("metadata", "$.programming_language"), "cwe": F.try_element_at("cwe_types", F.lit(1))}
-    return P.long_report({k: P.distribution(s, v) for k, v in parts.items()})
+    every = s.withColumn("_all", F.lit("all"))
+    totals = every.groupBy("_all").agg(F.count("*").alias("total"), (F.count_distinct("label") + F.max(F.col("label").isNull().cast("long"))).alias("unique_labels"))
+    return {
+        "label": P.distribution(s, F.col("label")), "language": P.distribution(s, F.get_json_object("metadata", "$.programming_language")), "cwe": P.list_distribution(s, F.col("cwe_types"), "(null)"),
+        "samples": totals, "code_length": P.length_stats(every, ["_all"], "code"),
+    }
 
 
-@query("WITH c AS (SELECT label, count(*) AS n FROM samples GROUP BY 1) SELECT 'balance' AS section, coalesce(label, '(null)') || '.' || m AS key, v AS value FROM (SELECT label, unnest(['n', 'percent', 'imbalance']) AS m, unnest([n::double, round(n * 100.0::double / sum(n) OVER (), 4), round(max(n) OVER ()::double / min(n) OVER (), 4)]) AS v FROM c)")
+@query(f"{_BASIC} UNION ALL {_BALANCE} UNION ALL SELECT 'duplicates', digest || '.n', n::double FROM (SELECT sha256(code) AS digest, count(*) AS n FROM samples WHERE code IS NOT NULL GROUP BY 1 HAVING count(*) > 1)")
 def prf_balance_report(spark, d):
-    return P.long_report({"balance": P.class_balance(table(spark, d, "samples"), "label")})
+    """The whole report: basic statistics, balance of the classes, groups of equal codes."""
+    s = table(spark, d, "samples")
+    return P.long_report(_basic(spark, d) | {"balance": P.class_balance(s, "label"), "duplicates": P.duplicates(s, "code", "row_id").select("digest", "n")})
+
+
+@query("SELECT coalesce(c, 'NONE') AS value, count(*) AS n, (SELECT count(*) FROM primevul_raw) AS total FROM (SELECT unnest(CASE WHEN cwe IS NULL OR len(cwe) = 0 THEN [NULL] ELSE cwe END) AS c FROM primevul_raw) GROUP BY 1")
+def prf_lines_stats(spark, d):
+    """Readable rows and classes of a source of JSON lines, with broken lines among them."""
+    import uuid
+
+    from quillon.session import _made, shared_dir
+    from quillon.sources import readers
+
+    p = f"{shared_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    _made.append((spark, p))
+    table(spark, d, "primevul_raw").select("idx", "cwe").write.json(p)
+    spark.sql("SELECT explode(array('{\"idx\": 1', '', 'no json')) AS value").write.mode("append").text(p)
+    rows, _ = readers.jsonl(spark, p, "idx string, cwe array<string>")
+    return P.list_distribution(rows, F.col("cwe"), "NONE").withColumn("total", rows.agg(F.count("*").alias("n")).scalar())
+
+
+@query(
+    """SELECT 'count' AS section, k AS value, n FROM (SELECT unnest(['cve', 'fixes', 'commits', 'file_change', 'classes']) AS k, unnest([count(DISTINCT cve) FILTER (cve LIKE 'CVE-%'), count(DISTINCT (cve, commit_id)) FILTER (cve LIKE 'CVE-%'), count(DISTINCT commit_id), count(*), (SELECT count(DISTINCT c) FROM (SELECT unnest(cwe) AS c FROM primevul_raw))]) AS n FROM primevul_raw)
+    UNION ALL SELECT 'class', c, count(*) FROM (SELECT unnest(cwe) AS c FROM primevul_raw) GROUP BY c
+    UNION ALL SELECT 'severity', CASE WHEN len(cwe) >= 2 THEN 'HIGH' WHEN len(cwe) = 1 THEN 'MEDIUM' ELSE 'NONE' END, count(*) FROM primevul_raw GROUP BY 2"""
+)
+def prf_relational_stats(spark, d):
+    """Row counts of a relational source's tables, its classes and severity bands (of a score made from the number of classes)."""
+    t = table(spark, d, "primevul_raw")
+    is_cve = F.col("cve").startswith("CVE-")
+    counts = t.agg(
+        F.count_distinct(F.when(is_cve, F.col("cve"))).alias("cve"), F.count_distinct(F.when(is_cve, F.struct("cve", "commit_id"))).alias("fixes"), F.count_distinct("commit_id").alias("commits"), F.count("*").alias("file_change")
+    )
+    classes = P.distribution(t.select(F.explode("cwe").alias("c")), F.col("c"))
+    long = counts.select(F.expr("stack(4, 'cve', cve, 'fixes', fixes, 'commits', commits, 'file_change', file_change) as (value, n)")).unionByName(classes.agg(F.count("*").alias("n")).select(F.lit("classes").alias("value"), "n"))
+    score = F.least(F.coalesce(F.size("cwe"), F.lit(0)), F.lit(2))
+    bands = P.distribution(t, N.severity_of_score(F.when(score == 2, 7).when(score == 1, 4).otherwise(0)))
+    return long.withColumn("section", F.lit("count")).unionByName(classes.withColumn("section", F.lit("class"))).unionByName(bands.withColumn("section", F.lit("severity"))).select("section", "value", "n")
 
 
 @query("SELECT idx % 2 = 0 AS even, count(DISTINCT idx) AS groups, count(DISTINCT idx) FILTER (target = 1) AS vulnerable_groups, count(DISTINCT idx) FILTER (target = 0) AS safe_groups FROM primevul_raw GROUP BY 1")

@@ -178,6 +178,38 @@ def met_auc(spark, d):
     return r.groupBy("model_name").agg(F.round(F.when((p > 0) & (q > 0), (F.sum(F.col("r") * F.col("pos")) - p * (p + 1) / 2.0) / (p * q)), 6).alias("auc"))
 
 
+_LONG = lambda names: "unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS metric, unnest([" + ", ".join(f"({n})::double" for n in names) + "]) AS value"
+_BIN = ("accuracy", "precision", "recall", "f1_score", "specificity")
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_extract_all(coalesce({c}, ''), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z_][a-zA-Z0-9_]*')))"
+_LINES = lambda c: f"list_distinct(list_filter(list_transform(string_split(coalesce({c}, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''))"
+_SHARE = "CASE WHEN len(b) > 0 THEN len(list_intersect(a, b))::double / len(b) WHEN len(a) = 0 THEN 1.0 ELSE 0.0 END"
+
+
+@query(
+    f"""{_MULTI}, bc AS (SELECT run_id, {cells('t IS NOT NULL AND p IS NOT NULL')} FROM pred WHERE starts_with(task_type, 'binary') GROUP BY run_id), bm AS (SELECT run_id, {metric_sql(('accuracy', 'precision', 'recall', 'f1', 'specificity'))} FROM bc),
+    x AS (SELECT run_id AS g, {_LONG(_BIN)} FROM (SELECT *, f1 AS f1_score FROM bm)),
+    k3 AS (SELECT 'task3' AS g, count(*) AS total_predictions, round(avg({_SHARE}), 6) AS r FROM (SELECT {_TOKENS('func_after')} AS a, {_TOKENS('func_before')} AS b FROM cleanvul_raw)),
+    k4 AS (SELECT 'task4' AS g, count(*) AS total_predictions, round(avg({_SHARE}), 6) AS r FROM (SELECT {_LINES('func_after')} AS a, {_LINES('func_before')} AS b FROM cleanvul_raw)),
+    am AS (SELECT model_name, coalesce(true_label, 'UNKNOWN') AS "true", CASE WHEN coalesce(predicted_label, '') = '' THEN 'UNKNOWN' ELSE predicted_label END AS pred FROM pred WHERE task_type = 'multiclass_vulnerability'),
+    ac AS (SELECT model_name, "true", pred, count(*) AS n FROM am GROUP BY ALL), al AS (SELECT model_name, "true" AS label FROM ac UNION SELECT model_name, pred FROM ac),
+    s2 AS (SELECT al.model_name, al.label, coalesce((SELECT sum(n) FROM ac WHERE ac.model_name = al.model_name AND ac."true" = al.label), 0) AS support, coalesce((SELECT sum(n) FROM ac WHERE ac.model_name = al.model_name AND ac.pred = al.label), 0) AS predicted,
+        coalesce((SELECT sum(n) FROM ac WHERE ac.model_name = al.model_name AND ac.pred = al.label AND ac."true" = al.label), 0) AS tp FROM al),
+    am2 AS (SELECT model_name AS g, round(avg(CASE WHEN predicted = 0 THEN 0.0::double ELSE tp::double / predicted END), 6) AS macro_precision, round(avg(CASE WHEN support = 0 THEN 0.0::double ELSE tp::double / support END), 6) AS macro_recall,
+        round(avg(CASE WHEN predicted + support = 0 THEN 0.0::double ELSE 2.0::double * tp / (predicted + support) END), 6) AS macro_f1_score, (SELECT round(sum(CASE WHEN ac."true" = ac.pred THEN n ELSE 0 END)::double / sum(n), 6) FROM ac WHERE ac.model_name = s2.model_name) AS accuracy FROM s2 GROUP BY model_name)
+    SELECT g, metric, value FROM x UNION ALL SELECT g, {_LONG(('accuracy', 'macro_precision', 'macro_recall', 'macro_f1_score'))} FROM am2
+    UNION ALL SELECT g, {_LONG(('total_predictions', 'macro_token_recall', 'micro_token_recall', 'accuracy'))} FROM (SELECT *, r AS macro_token_recall, r AS micro_token_recall, r AS accuracy FROM k3)
+    UNION ALL SELECT g, {_LONG(('total_predictions', 'avg_line_recall', 'avg_union_line_recall', 'accuracy'))} FROM (SELECT *, r AS avg_line_recall, r AS avg_union_line_recall, r AS accuracy FROM k4)"""
+)
+def met_by_task(spark, d):
+    """The metrics of each task: binary ones by run, those of classes by model, token and line recall of code."""
+    x = predictions(spark, d).select("run_id", "model_name", "task_type", F.col("true_label").alias("true"), F.col("predicted_label").alias("pred"))
+    binary = R.metric_summary(x.where(F.col("task_type").startswith("binary")).withColumnRenamed("run_id", "g"), ["g"], "binary_vulnerability")
+    classes = R.metric_summary(x.where("task_type = 'multiclass_vulnerability'").withColumnRenamed("model_name", "g"), ["g"], "multiclass_vulnerability")
+    c = table(spark, d, "cleanvul_raw").select(F.col("func_before").alias("true"), F.col("func_after").alias("pred"))
+    code = [R.metric_summary(c.withColumn("g", F.lit(t)), ["g"], "binary_vulnerability", t) for t in ("task3", "task4")]
+    return binary.unionByName(classes).unionByName(code[0]).unionByName(code[1])
+
+
 # ---- votes ----
 
 # a draw's label: by the parser of its run's task, as every other answer; ``vote`` is that of binary tasks

@@ -112,6 +112,18 @@ def reports(spark: SparkSession, path: str, pattern: str = "benchmark_report_*.j
     return r.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), *_flat("benchmark_info"), "metrics", "is_success", "predictions")
 
 
+CELLS = "true_positives:bigint,true_negatives:bigint,false_positives:bigint,false_negatives:bigint"
+SUMMARY = f"benchmark_info struct<model:struct<{_MODEL}>,stats:struct<{_STATS}>>, metrics struct<details:struct<confusion_matrix:struct<{CELLS}>>>"
+
+
+def metrics_summaries(spark: SparkSession, path: str, keys: dict[str, str], pattern: str = "metrics_summary_*.json") -> DataFrame:
+    """Metrics summaries below a folder: model, stats and confusion counts, and for each of ``keys`` the first group of its expression in the file's path."""
+    r = spark.read.schema(SUMMARY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
+    cells = [F.col(f"metrics.details.confusion_matrix.{long}").alias(short) for long, short in (("true_positives", "tp"), ("true_negatives", "tn"), ("false_positives", "fp"), ("false_negatives", "fn"))]
+    named = [F.regexp_extract("_metadata.file_path", e, 1).alias(k) for k, e in keys.items()]
+    return r.select(*named, "benchmark_info.model.model_name", "benchmark_info.stats.total_samples", "benchmark_info.stats.avg_time_per_sample", "benchmark_info.stats.tokens_used_avg", *cells)
+
+
 def _flat(info: str) -> list:
     both = lambda group, c: F.coalesce(F.col(f"{info}.{group}.{c}"), F.col(f"{info}.{c}")).alias(c)
     names = lambda spec: [p.split(":")[0] for p in spec.split(",")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import normalise as N
 from quillon.functions.text import strip
+from quillon.operators.datasets import numbered
 
 COLUMNS = ("id", "code", "label", "cwe_types", "severity")
 
@@ -58,6 +59,20 @@ def token_labelled(df: DataFrame, kind: str, position: str, prefix: str = "token
     )
 
 
+def matched(df: DataFrame, order: str, prefix: str = "cleanvul") -> DataFrame:
+    """Matched entries (func_code, sample_id, is_vulnerable) as samples; an entry without an id gets ``prefix``-n, n being its sample's number in ``order``."""
+    t = numbered(df.withColumn("code", strip(F.coalesce("func_code", F.lit("")))).where("code <> ''"), order)
+    given = F.nullif(F.col("sample_id"), F.lit(""))
+    return t.select(F.coalesce(given, F.concat(F.lit(f"{prefix}-"), (F.col("_i") + 1).cast("string"))).alias("id"), "code", F.coalesce("is_vulnerable", F.lit(False)).cast("int").alias("label"))
+
+
+def variants(df: DataFrame, codes: dict[str, Column], order: str, smoke_of: str) -> DataFrame:
+    """(variant, order, code) of each variant's non-blank codes, in one pass, and as variant 'smoke' the shortest of one of them (the first of equals)."""
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("variant"), strip(F.coalesce(c, F.lit(""))).alias("code")) for k, c in codes.items())))
+    t = df.select(order, each).where("code <> ''").select("variant", order, "code")
+    return t.unionByName(t.where(F.col("variant") == smoke_of).orderBy(F.length("code"), order).limit(1).withColumn("variant", F.lit("smoke")))
+
+
 def function_pairs(df: DataFrame, position: str, call_graph: bool = False, target: str | None = None, prefix: str = "pair") -> DataFrame:
     """Vulnerable and fixed functions of a pair source as two samples, with their call graph before them if asked for; only pairs of the target class if there is one."""
     cwe = N.cwe(F.col("cwe"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.operators.datasets import numbered
 
 
 def dataset_parquet(samples: DataFrame, path: str, partition: list[str]) -> None:
     samples.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
-def dataset_documents(samples: DataFrame, meta: DataFrame, key: str) -> DataFrame:
-    """(key, value): one JSON document ``{metadata, samples}`` per key, samples in order. For interchange: a document is one row."""
-    item = F.struct(*(c for c in samples.columns if c not in (key, "_ord")))
+def dataset_documents(samples: DataFrame, meta: DataFrame, key: str, classes: str | None = None) -> DataFrame:
+    """(key, value): one JSON document ``{metadata, samples}`` per key, samples in order. For interchange: a document is one row.
+
+    ``classes`` names the column that is written as ``cwe_type`` (a source whose readers expect the older name).
+    """
+    item = F.struct(*(F.col(c).alias("cwe_type" if c == classes else c) for c in samples.columns if c not in (key, "_ord")))
     body = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", item.alias("s")))), lambda x: x["s"]).alias("samples"))
     head = meta.select(key, F.struct(*(c for c in meta.columns if c != key)).alias("metadata"))
     return head.join(body, key).select(key, F.to_json(F.struct("metadata", "samples")).alias("value"))
@@ -46,16 +50,11 @@ def flattened(samples: DataFrame, metadata: str = "metadata") -> DataFrame:
 def samples_of_csv(rows: DataFrame, order: str, code: str = "code", label: str = "label") -> DataFrame:
     """Rows as samples: ids sample_000000 on in the given order, labels as integers where they are digits, the rest as metadata.
 
-    ``order`` must be unique; positions come from the counts of its ranges, so that no task gets all rows.
+    ``order`` must be unique.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = materialise(rows.repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id()), "ranges")  # bounds are sampled: fix them once
-    r = r.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    n = r.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    before = n.select("_p", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_first")) - F.col("_n")).alias("_before"))  # a row per partition
     rest = [c for c in rows.columns if c not in (code, label)]
-    return r.join(before, "_p").select(
-        F.format_string("sample_%06d", F.col("_before") + F.col("_i") - 1).alias("id"), code, label, F.when(F.col(label).rlike("^[0-9]+$"), F.col(label).try_cast("int")).alias("label_int"), F.to_json(F.struct(*rest)).alias("metadata")
+    return numbered(rows, order).select(
+        F.format_string("sample_%06d", "_i").alias("id"), code, label, F.when(F.col(label).rlike("^[0-9]+$"), F.col(label).try_cast("int")).alias("label_int"), F.to_json(F.struct(*rest)).alias("metadata")
     )
 
 
@@ -68,3 +67,26 @@ def markdown(rows: DataFrame, title: str, parts: list[tuple[str, str]]) -> DataF
 def write_markdown(texts: DataFrame, path: str, keys: list[str]) -> None:
     """One folder per key with a text file of its Markdown."""
     texts.select(*keys, "markdown").write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file through the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def plan_result(experiments: DataFrame, path: str, plan_name: str, description: str = "") -> None:
+    """The result file of a plan: its experiments (position, benchmark_info, metrics, is_success) in order, and their summary. A plan's experiments are a list that was on the driver before."""
+    rows = [json.loads(r.j) for r in experiments.select("position", F.to_json(F.struct(*(c for c in experiments.columns if c != "position"))).alias("j")).orderBy("position").collect()]
+    good = sum(bool(r.get("is_success")) for r in rows)
+    summary = {"total_experiments": len(rows), "successful_experiments": good, "failed_experiments": len(rows) - good}
+    put_text(experiments.sparkSession, f"{path}/experiment_plan_results.json", json.dumps({"plan_name": plan_name, "description": description, "experiments": rows, "summary": summary, "output_dir": path}, ensure_ascii=False, indent=2))
+
+
+def contamination_prompts(prompts: DataFrame, path: str) -> None:
+    """JSON lines of id and prompt."""
+    prompts.write.mode("overwrite").json(path)
