@@ -96,10 +96,10 @@ def test_limits(spark):
 
 
 def test_prompts(spark):
-    t = "A\n\n\nAnswer with only 'YES' or 'NO'.\n{code} in {lang}"
+    t = "A\n\n\n- Respond with only 'YES' or 'NO'.\n{code} in {lang}"
     df = spark.createDataFrame([("x{y}",), (None,)], "c string")
     got = [r[0] for r in df.select(prompts.render(t, {"lang": "C"}, F.col("c"), "binary_vulnerability")).collect()]
-    assert got[0].startswith("A\n\nx{y} in C\n\nEnd with") and got[1].startswith("A\n\n in C")
+    assert got[0].startswith("A\n\nx{y} in C\nResponse format:") and got[1].startswith("A\n\n in C")
     assert [r[0] for r in df.select(prompts.render_column(F.lit("[{code}]"), F.col("c"))).collect()] == ["[x{y}]", "[]"]
 
 
@@ -112,7 +112,7 @@ def test_inference_isolates_failures(spark):
     good = inference.infer(df, inference.backend("stub")).collect()
     assert all(r._error is None and r.tokens_used > 0 for r in good)
     bad = inference.infer(df, Broken).collect()
-    assert len(bad) == 10 and all(r._error == "RuntimeError: down" and r.response_text is None for r in bad)
+    assert len(bad) == 10 and all(r._error == "RuntimeError: down" and r.response_text == "ERROR: RuntimeError: down" for r in bad)
     with pytest.raises(ValueError):
         inference.backend("none")
     assert inference.sampling_parameters({"temperature"}, temperature=1, top_k=5, top_p=None) == ({"temperature": 1}, ["top_k"])
