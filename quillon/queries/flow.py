@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -97,14 +98,13 @@ def _write_files(rows, path: str, name: str) -> None:
     """One small file per row through the session's file system (a sink for interchange)."""
 
     def put(it):
-        import os
-
         for r in it:
             os.makedirs(f"{path}/{r.row_id}", exist_ok=True)
             with open(f"{path}/{r.row_id}/{name}", "w", encoding="utf-8", newline="") as f:
                 f.write(r.value)
 
     path = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(path, exist_ok=True)  # without rows there is an empty folder
     rows.foreachPartition(put)
 
 

@@ -30,7 +30,7 @@ def empty(spark, data, tmp_path_factory):
 
 
 # constant results, folders without files and streams over folders have nothing to say about empty tables
-SKIPPED = {"src_annotated_files", "src_sample_folders", "src_reports", "src_report_predictions", "orc_rebuild_plan", "src_plan_results", "src_dataset_document", "src_json_array", "snk_report_json", "snk_partitioned_parquet", "snk_flattened"}
+SKIPPED = {"src_plan_results", "src_dataset_document", "src_json_array", "snk_report_json", "snk_partitioned_parquet", "snk_flattened"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIPPED))
