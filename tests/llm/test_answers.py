@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import pairs as P
 from quillon.llm import truncation as T
 from quillon.llm._answers import ending, is_copy, is_empty, uncovered, word_runs, words_of
-from quillon.llm._language import Languages, fit, prose
+from quillon.llm._language import Languages, fit, learn, prose
 
 COMPLETE = [
     "Text.\nSAFE\n-- end of review --", "Text.\nSAFE\n-----",
@@ -196,3 +197,28 @@ def test_long_texts_take_linear_time(text):
     began = time.perf_counter()
     ending(text), is_empty(text), prose(text), has_verdict(text), opening(text), uncovered(words_of(text), {("a",) * 5})
     assert time.perf_counter() - began < 5
+
+
+def test_languages_are_learnt_from_all_texts_and_answers(spark):
+    """What tells a language, or is in use, stands behind the first thousands of rows."""
+    rng = random.Random(5)
+    say = lambda lang: " ".join(rng.sample(KNOWN[lang].split(". "), 2))
+    late = " Wkrzqx vbnmpf tghjyk lqwzrv dskfhg hjklmn." * 8
+    known = [("en", KNOWN["en"]), ("es", KNOWN["es"]), *[("de", "qqq qqq")] * 600, ("de", KNOWN["de"]), (None, "x"), ("fr", None)]
+    said = [*[say("de") for _ in range(9)], *[say("es") for _ in range(1600)], *[f"{say('es')}.{late}" for _ in range(400)], None]
+    rows = [(i, "r", f"s{i % 3}", 5, "es", TEMPLATE, t and f"{t}.\n[[FINAL_ANSWER: SAFE]]") for i, t in enumerate(said)]
+    rows += [(9000, "r", "s0", 1, "en", TEMPLATE, "Die Funktion übernimmt a_b vom Aufrufer und reicht es ohne Prüfung weiter.\n[[FINAL_ANSWER: SAFE]]"), (9001, "r", "s0", None, None, None, GOOD)]
+    df = spark.createDataFrame(rows, "row_id long, source string, sample_id string, prompt_id int, prompt_lang string, template string, text string")
+    labels = spark.createDataFrame(known, "lang string, text string")
+    got = {r.row_id: r.defect for r in P.broken_pairs(df, spark.createDataFrame([("s0", CODE)], "id string, code string"), labels).collect()}
+    assert got == dict.fromkeys((*range(9), 9000), "language") | {2009: "empty"}
+
+    def by(pairs):
+        out = {}
+        for lang, text in pairs:
+            if lang and text is not None:
+                out.setdefault(lang, []).append(text)
+        return out
+
+    m, want = learn(labels, df.select(F.col("prompt_lang").alias("lang"), "text")), fit(by(known), by((r[4], r[6]) for r in rows))
+    assert m.names == want.names == ["de", "en", "es"] and (m.log_p == want.log_p).all() and m.least_used == want.least_used != {} and (m.used["es"] == want.used["es"]).all()
